@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.ids import canonical_id
-from weftline.llm import components, survivorship, topn
+from weftline.llm import components, knn, survivorship, topn
 from weftline.session import table
 
 ATTRIBUTES = (
@@ -41,6 +41,16 @@ def p2_top_gaps(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(current, "concept_b", "score", "key", 5)
 
 
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The three most similar concepts of every concept, with the cosine."""
+    rows = table(spark, d, "concept_vec").select(canonical_id("concept_id").alias("id"), "vec")
+    return knn.nearest(rows, k=3, dim=64)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return knn.neighbour_pairs(p5_neighbours(spark, d)).select(F.col("a").alias("concept_a"), F.col("b").alias("concept_b"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     groups = components.connected_components(components.merge_pairs(table(spark, d, "merge_candidates")))
     return groups.withColumnRenamed("id", "concept_id")
@@ -51,5 +61,7 @@ QUERIES = {
     "p1_survivors": p1_survivors,
     "p2_found": p2_found,
     "p2_top_gaps": p2_top_gaps,
+    "p5_found": p5_found,
+    "p5_neighbours": p5_neighbours,
     "p7_found": p7_found,
 }
