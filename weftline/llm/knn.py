@@ -4,7 +4,7 @@
   id); every vector is indexed, in the cell of its nearest centroid.
 * A vector searches its own cell and every cell whose centroid is nearly as close (``margin`` in cosine, and at
   least ``min_probes`` cells).
-* In a cell each vector is one bit per rotated coordinate of its residual to the centroid, packed into words, with
+* In a cell each vector is one bit per rotated coordinate of its residual to the cell's mean, packed into words, with
   three correction scalars. A query is quantised to four bits per coordinate; and + popcount of its bit planes
   gives an estimate of the inner product with an error bound. Every vector whose upper bound reaches the k-th best
   lower bound is reranked by the exact cosine, so within the probed cells the loss is that of the bound only.
@@ -60,61 +60,78 @@ def _pack(bits: np.ndarray) -> np.ndarray:
 
 
 class Cell:
-    """One-bit codes and correction scalars of the vectors of one cell, relative to its centroid."""
+    """One-bit codes and correction scalars of the vectors of one cell, relative to their mean ``c``.
 
-    def __init__(self, vectors: np.ndarray, centroid: np.ndarray, rotate: np.ndarray):
+    A vector's cosine with a query is ``n * m * <u, v> + <o, c> + <q, c> - <c, c>`` with the residuals ``n u`` and
+    ``m v``; ``<u, v>`` is estimated from the code of ``u`` and the quantised ``v`` and divided by ``<code, u>``.
+    """
+
+    def __init__(self, vectors: np.ndarray, rotate: np.ndarray):
         self.dim, self.rotate = vectors.shape[1], rotate
-        self.centroid = centroid
         self.exact = vectors.astype(np.float64)
         self.exact /= np.linalg.norm(self.exact, axis=1, keepdims=True)
-        unit = self.exact.astype(np.float32)
-        res = unit - centroid
+        self.unit = self.exact.astype(np.float32)
+        self.centroid = centroid = self.unit.mean(0)
+        res = self.unit - centroid
         norm = np.maximum(np.linalg.norm(res, axis=1), 1e-7)
         turned = (res / norm[:, None]) @ rotate
-        self.codes = _pack(turned > 0)
-        self.ones = np.bitwise_count(self.codes).sum(1).astype(np.float32)
+        self.codes = np.ascontiguousarray(_pack(turned > 0).T)
+        ones = np.bitwise_count(self.codes).sum(0).astype(np.float32)
         cos = np.abs(turned).sum(1) / np.sqrt(self.dim)
-        self.scale = norm / (np.sqrt(self.dim) * cos)
-        self.error = EPSILON * norm * np.sqrt(np.maximum(1 - cos**2, 0)) / cos / np.sqrt(max(self.dim - 1, 1))
-        self.offset = unit @ centroid
-
-    def bounds(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated cosine of each query with each vector, and the half width of its bound."""
+        self.scale = (norm / (np.sqrt(self.dim) * cos)).astype(np.float32)
+        error = EPSILON * norm * np.sqrt(np.maximum(1 - cos**2, 0)) / cos / np.sqrt(max(self.dim - 1, 1))
+        #: Rows that the per-query scalars of ``upper`` are multiplied with.
+        self.terms = np.stack([ones * self.scale, self.scale, error, self.unit @ centroid, np.ones(len(norm))]).astype(np.float32)
+
+    def upper(self, unit: np.ndarray, room: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Upper bound of the cosine of each query with each vector; ``room``: buffers of that shape."""
+        word, count, total, out = (x[: len(unit)] for x in room)
         res = unit - self.centroid
         norm = np.maximum(np.linalg.norm(res, axis=1), 1e-7)
         turned = (res / norm[:, None]) @ self.rotate
         low = turned.min(1)
         step = np.maximum(turned.max(1) - low, 1e-6) / (2**QUERY_BITS - 1)
         levels = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
-        total = np.zeros((len(unit), len(self.codes)), np.uint16)
-        for j in range(QUERY_BITS):
+        total[:] = 0
+        for j in reversed(range(QUERY_BITS)):
+            total += total
             plane = _pack((levels >> j) & 1)
-            for w in range(plane.shape[1]):
-                total += np.bitwise_count(plane[:, w, None] & self.codes[None, :, w]).astype(np.uint16) << j
-        est = total * (2 * step * norm).astype(np.float32)[:, None]
-        est += (2 * low * norm).astype(np.float32)[:, None] * self.ones
-        est -= (turned.sum(1) * norm).astype(np.float32)[:, None]
-        est *= self.scale
-        est += self.offset + (unit @ self.centroid - self.centroid @ self.centroid)[:, None]
-        # Rounding a query moves its product with a code by about step / sqrt(12) per coordinate.
-        wide = norm[:, None] * (self.error + EPSILON * self.scale * (step * np.sqrt(self.dim / 12))[:, None])
-        return est, wide
-
-    def search(self, queries: np.ndarray, k: int, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query row, vector row, cosine) of the candidates whose bound reaches the k + 1 best."""
+            for w, codes in enumerate(self.codes):
+                np.bitwise_and(plane[:, w, None], codes, out=word)
+                np.bitwise_count(word, out=count)
+                total += count
+        np.multiply(total, self.scale, out=out)
+        out *= (2 * step * norm).astype(np.float32)[:, None]
+        # Rounding a query moves its product with a code by about step * sqrt(dim / 12).
+        rounding = EPSILON * step * np.sqrt(self.dim / 12)
+        scalars = np.stack([2 * low * norm, (rounding - turned.sum(1)) * norm, norm, np.ones(len(norm)), unit @ self.centroid - self.centroid @ self.centroid + 1e-5], axis=1)
+        out += scalars.astype(np.float32) @ self.terms
+        return out
+
+    def search(self, queries: np.ndarray, k: int, block: int = 64, parts: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, vector row, cosine) of every vector whose bound reaches the k-th best known exact cosine.
+
+        The best estimate of each of some equal parts of the cell is compared exactly first; the k + 1 best of these
+        (a query may be among them itself) give the bar for all others.
+        """
         q64 = queries.astype(np.float64)
         q64 /= np.linalg.norm(q64, axis=1, keepdims=True)
-        rows, cols, sims = [], [], []
-        m = len(self.codes)
+        m = self.codes.shape[1]
+        parts = max(parts, 2 * (k + 1))
+        width = -(-m // parts)
+        spans = [(a, min(a + width, m)) for a in range(0, m, width)]
+        room = tuple(np.empty((block, m), t) for t in (np.uint64, np.uint8, np.uint16, np.float32))
+        rows, cols, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for i in range(0, len(q64), block):
             part = q64[i : i + block]
-            est, wide = self.bounds(part.astype(np.float32))
-            est += wide
-            if m > k + 1:
-                wide *= 2
-                low = est - wide
-                floor = np.partition(low, m - k - 1, axis=1)[:, m - k - 1]
-                r, c = np.nonzero(est >= floor[:, None])
+            unit = part.astype(np.float32)
+            if len(spans) > k + 1:
+                bound = self.upper(unit, room)
+                lead = np.stack([bound[:, a:b].argmax(1) + a for a, b in spans], axis=1)
+                known = np.einsum("ij,ikj->ik", unit, self.unit[lead])
+                bar = np.partition(known, len(spans) - k - 1, axis=1)[:, len(spans) - k - 1] - 1e-5
+                at = np.flatnonzero(bound >= bar[:, None])
+                r, c = at // m, at % m
             else:
                 r, c = np.divmod(np.arange(len(part) * m), m)
             rows.append(r + i)
@@ -123,13 +140,13 @@ class Cell:
         return np.concatenate(rows), np.concatenate(cols), np.concatenate(sims)
 
 
-def nearest_in_cell(ids_q, queries, ids, vectors, centroid, rotate, k) -> tuple[list, list, np.ndarray]:
+def nearest_in_cell(ids_q, queries, ids, vectors, rotate, k) -> tuple[list, list, np.ndarray]:
     """(query ids, neighbour ids, cosine rounded to 6): the k best of one cell for each query; repeated ids count once."""
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     first = np.r_[True, (ids[1:] != ids[:-1]) | (vectors[1:] != vectors[:-1]).any(1)] if len(ids) else np.zeros(0, bool)
     ids, vectors = ids[first], vectors[first]
-    r, c, s = Cell(vectors, centroid, rotate).search(queries, k)
+    r, c, s = Cell(vectors, rotate).search(queries, k)
     other = ids_q[r] != ids[c]
     r, c, s = r[other], c[other], np.round(s[other], 6)
     order = np.lexsort((c, -s, r))
@@ -155,9 +172,7 @@ def nearest(vectors: DataFrame, id_col: str = "id", vec_col: str = "vec", k: int
     """``(id, neighbour, similarity)``: the k most similar vectors of every usable vector."""
     spark = vectors.sparkSession
     rows = usable_vectors(vectors, id_col, vec_col, dim)
-    rows, copies = _set_copies_aside(rows, k)
-
-    n = rows.count()
+    rows, copies, n = _set_copies_aside(rows, k)
     cells = int(max(1, min(CELLS_MAX, n // cell_rows)))
     every = max(1, -(-n // min(SAMPLE_MAX, 64 * cells)))
     picked = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(every)) == 0).select("vec").limit(SAMPLE_MAX).toArrow()["vec"]
@@ -203,7 +218,6 @@ def nearest(vectors: DataFrame, id_col: str = "id", vec_col: str = "vec", k: int
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(b, pa.int32()), pa.array(mine), ids.take(pa.array(r)), binary], ["cell", "block", "indexed", "id", "vec"])
 
     def search(key, group):
-        cents, _ = shared.value
         group = group.combine_chunks()
         vecs = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.float32).reshape(-1, dim)
         ids = np.array(group.column("id").to_pylist(), dtype=object)
@@ -213,7 +227,7 @@ def nearest(vectors: DataFrame, id_col: str = "id", vec_col: str = "vec", k: int
         order = np.argsort(ids, kind="stable")
         same = np.r_[False, (ids[order][1:] == ids[order][:-1]) & (vecs[order][1:] == vecs[order][:-1]).all(1)]
         q = np.sort(order[~same])
-        a, b, s = nearest_in_cell(ids[q], vecs[q], ids[mine], vecs[mine], cents[key[0].as_py()], rotation(dim), k)
+        a, b, s = nearest_in_cell(ids[q], vecs[q], ids[mine], vecs[mine], rotation(dim), k)
         return pa.table({"id": pa.array(a, pa.string()), "neighbour": pa.array(b, pa.string()), "similarity": pa.array(s, pa.float64())})
 
     placed = rows.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(1 << 20)).cast("int").alias("salt")).mapInArrow(assign, "cell int, block int, indexed boolean, id string, vec binary")
@@ -224,13 +238,17 @@ def nearest(vectors: DataFrame, id_col: str = "id", vec_col: str = "vec", k: int
     return out if copies is None else out.unionByName(_copies_neighbours(copies, out, k))
 
 
-def _set_copies_aside(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
-    """Leave k + 1 members of every large class of equal vectors in the index; ``(id, rep, ids)`` of the others."""
+def _set_copies_aside(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """Leave k + 1 members of every large class of equal vectors in the index.
+
+    Gives the rows to index, ``(id, rep)`` of the others if there are any, and the number of rows.
+    """
     keyed = rows.select("id", F.xxhash64("vec").alias("h"))
-    large = keyed.groupBy("h").count().where(F.col("count") > COPIES_MAX).select("h")
-    found = large.limit(10_001).count()
+    classes = keyed.groupBy("h").count()
+    n, found = classes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > COPIES_MAX)).first()
     if not found:
-        return rows, None
+        return rows, None, n
+    large = classes.where(F.col("count") > COPIES_MAX).select("h")
     from weftline.llm.topn import top_n
 
     large = F.broadcast(large) if found <= 10_000 else large
@@ -239,7 +257,7 @@ def _set_copies_aside(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame | N
     first = F.broadcast(first) if found <= 10_000 else first
     joined = rows.withColumn("h", F.xxhash64("vec")).join(first, "h", "left")
     spare = F.col("ids").isNotNull() & ~F.array_contains("ids", F.col("id"))
-    return joined.where(~spare).select("id", "vec"), joined.where(spare).select("id", F.col("ids")[0].alias("rep")).distinct()
+    return joined.where(~spare).select("id", "vec"), joined.where(spare).select("id", F.col("ids")[0].alias("rep")).distinct(), n
 
 
 def _copies_neighbours(copies: DataFrame, found: DataFrame, k: int) -> DataFrame:
