@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.ids import canonical_id
-from weftline.llm import components, knn, survivorship, topn
+from weftline.llm import components, knn, mixing, packing, splitting, survivorship, topn
 from weftline.session import table
 
 ATTRIBUTES = (
@@ -56,6 +56,54 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.withColumnRenamed("id", "concept_id")
 
 
+def _limit(spark: SparkSession, d: str, purpose: str) -> tuple[int, int]:
+    row = table(spark, d, "size_limit").where(F.lower(F.trim("purpose")) == purpose).first()
+    return row.max_tokens, row.overlap_tokens
+
+
+def _packed(spark: SparkSession, d: str, purpose: str) -> tuple[DataFrame, int]:
+    capacity, _ = _limit(spark, d, purpose)
+    return packing.pack(packing.items(table(spark, d, "documents"), capacity), capacity), capacity
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, or piece of an oversized text, with its container."""
+    return _packed(spark, d, "container")[0].withColumnRenamed("id", "doc_id")
+
+
+def p8_containers_long(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d, "container_long")[0].withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(*_packed(spark, d, "container"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Every use of a text in the mixture, with the source it counts for."""
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
+
+
+def p10_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Byte offsets and tokens of the pieces of every oversized document."""
+    return splitting.split_documents(table(spark, d, "documents"), *_limit(spark, d, "piece"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_plan(spark, d).where("piece = 0").select(F.col("id").alias("doc_id"))
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces with their text."""
+    return splitting.with_text(table(spark, d, "documents"), p10_plan(spark, d)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_survivors": p1_survivors,
@@ -64,4 +112,12 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
     "p7_found": p7_found,
+    "p8_containers": p8_containers,
+    "p8_containers_long": p8_containers_long,
+    "p8_fill": p8_fill,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_plan": p10_plan,
+    "p10_pieces": p10_pieces,
 }

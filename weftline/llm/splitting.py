@@ -11,8 +11,8 @@ A text is never looked at as a whole:
 4. *pieces* are taken out of the text (or file) by offset.
 
 Cut points lie between pre-tokens, where the byte-level tokenizers never join bytes, so the tokens of a piece are
-the sum of its parts. Only in a run of more than 255 bytes without any such point is cut inside a pre-token; a
-piece next to such a cut keeps ``SLACK`` tokens free.
+the sum of its parts (or less by one where a piece ends in white space). A run of more than ``LONGEST`` bytes
+without any such point gets points between characters; a piece next to such a cut keeps ``SLACK`` tokens free.
 
 Texts of no more bytes than the limit are never tokenized: a token has at least one byte.
 
@@ -37,8 +37,8 @@ from weftline.llm.tokens import DEFAULT_TOKENIZER, load
 
 RANGE_BYTES = 1 << 15
 HALO = 1024
-BEFORE = 8
-LONGEST = 255  # bytes between cut points
+BEFORE = 16
+LONGEST = 24  # bytes between cut points, at most 255
 SLACK = 16
 #: A piece is cut at the strongest boundary in the last part of its room.
 FILL = 0.5
@@ -143,20 +143,25 @@ def _seam(data: bytes, at: int) -> int:
     return begin + int(_widths(points)[: safe[0]].sum()) if len(safe) else lo
 
 
-def cut_table(text: str, tok) -> np.ndarray:
-    """``(3, n)`` bytes: byte step, token step and kind of each cut point of ``text``; the last one is its end."""
+def cut_table(text: str, tok, before: str = "", after: str = "") -> np.ndarray:
+    """``(3, n)`` bytes: byte step, token step and kind of each cut point of ``text``; the last one is its end.
+
+    ``before`` and ``after`` are what surrounds it, to judge its ends.
+    """
     if not text:
         return np.zeros((3, 0), np.uint8)
     points = _codepoints(text)
     place = np.concatenate([[0], np.cumsum(_widths(points))])
     token_end = np.concatenate([[0], np.cumsum(tok.lengths(text))])
-    safe = safe_cuts(points)
-    kinds = boundary_kinds(points)
-    at = np.flatnonzero(safe)
-    cuts, kind = np.append(place[at], place[-1]), np.append(kinds[at], PARAGRAPH)
+    around = _codepoints(before + text + after)
+    skip, n = len(_codepoints(before)), len(points)
+    safe, kinds = safe_cuts(around), boundary_kinds(around)
+    at = np.flatnonzero(safe[skip + 1 : skip + n]) + 1
+    last = PARAGRAPH if not after else kinds[skip + n] if safe[skip + n] else NONE
+    cuts, kind = np.append(place[at], place[-1]), np.append(kinds[skip + at], last).astype(np.uint8)
     steps = np.diff(cuts, prepend=0)
     if (steps > LONGEST).any():  # runs without a safe place: cut between characters, at a token's end if there is one
-        starts = place[np.isin(place, token_end)] if len(place) < 10_000_000 else place
+        starts = place[np.isin(place, token_end)]
         extra = []
         for i in np.flatnonzero(steps > LONGEST):
             pos, stop = int(cuts[i] - steps[i]), int(cuts[i])
@@ -211,11 +216,20 @@ class Planner:
         if self.kinds[best] == NONE:
             best = max(1, int(np.searchsorted(self.tokens, start + room - SLACK, "right")) - 1)
         self._emit(best)
-        back = int(np.searchsorted(self.tokens, self.tokens[best] - self.overlap, "left"))
-        back = best if self.overlap == 0 else min(max(back, 1), best)
+        back = self._back(best)
         self.fresh = int(self.tokens[best] - self.tokens[back])
         self.bytes, self.tokens, self.kinds = self.bytes[back:], self.tokens[back:], self.kinds[back:]
 
+    def _back(self, cut: int) -> int:
+        """Where the next piece starts: the strongest place that shares nearly ``overlap`` tokens."""
+        if not self.overlap:
+            return cut
+        first = int(np.searchsorted(self.tokens, self.tokens[cut] - self.overlap, "left"))
+        last = int(np.searchsorted(self.tokens, self.tokens[cut] - 0.875 * self.overlap, "right")) - 1
+        first = min(max(first, 1), cut)
+        last = min(max(last, first), cut)
+        return first + int(self.kinds[first : last + 1].argmax())
+
     def _emit(self, end: int) -> None:
         self.pieces.append((int(self.bytes[0]), int(self.bytes[end]), int(self.tokens[end] - self.tokens[0]), self.fresh))
 
@@ -245,7 +259,10 @@ def range_table(head: bytes, body: bytes, tail: bytes, tok) -> bytes:
     data = head + body + tail
     start = _seam(data, len(head)) if head else 0
     end = _seam(data, len(head) + len(body)) if tail else len(data)
-    return cut_table(data[start:end].decode("utf-8", "replace"), tok).tobytes() if end > start else b""
+    if end <= start:
+        return b""
+    text, before, after = data[start:end].decode("utf-8", "replace"), data[:start].decode("utf-8", "ignore"), data[end:].decode("utf-8", "ignore")
+    return cut_table(text, tok, before, after).tobytes()
 
 
 def text_ranges(documents: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
