@@ -108,7 +108,7 @@ class Cell:
         out += scalars.astype(np.float32) @ self.terms
         return out
 
-    def search(self, queries: np.ndarray, k: int, block: int = 64, parts: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, k: int, parts: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, vector row, cosine) of every vector whose bound reaches the k-th best known exact cosine.
 
         The best estimate of each of some equal parts of the cell is compared exactly first; the k + 1 best of these
@@ -117,6 +117,7 @@ class Cell:
         q64 = queries.astype(np.float64)
         q64 /= np.linalg.norm(q64, axis=1, keepdims=True)
         m = self.codes.shape[1]
+        block = int(np.clip(48_000 // m, 8, 64))  # the buffers stay in the processor's cache
         parts = max(parts, 2 * (k + 1))
         width = -(-m // parts)
         spans = [(a, min(a + width, m)) for a in range(0, m, width)]
@@ -132,6 +133,8 @@ class Cell:
                 bar = np.partition(known, len(spans) - k - 1, axis=1)[:, len(spans) - k - 1] - 1e-5
                 at = np.flatnonzero(bound >= bar[:, None])
                 r, c = at // m, at % m
+                near = np.einsum("ij,ij->i", unit[r], self.unit[c]) >= bar[r]  # the bar has room for rounding
+                r, c = r[near], c[near]
             else:
                 r, c = np.divmod(np.arange(len(part) * m), m)
             rows.append(r + i)
