@@ -43,5 +43,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_path(spark: SparkSession) -> None:
+    """Let Python workers import this package where it lies at the same path; a cluster may ship it otherwise."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_path(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
