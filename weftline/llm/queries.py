@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.ids import canonical_id
-from weftline.llm import components, knn, mixing, packing, splitting, survivorship, topn
+from weftline.llm import components, knn, mixing, packing, scanned, splitting, survivorship, topn
 from weftline.session import table
 
 ATTRIBUTES = (
@@ -41,6 +41,17 @@ def p2_top_gaps(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(current, "concept_b", "score", "key", 5)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunk")
+    return scanned.noise(chunks, scanned.learn(chunks))
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Continuous paragraphs of every source."""
+    chunks = table(spark, d, "chunk")
+    return scanned.repaired(chunks, scanned.learn(chunks))
+
+
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The three most similar concepts of every concept, with the cosine."""
     rows = table(spark, d, "concept_vec").select(canonical_id("concept_id").alias("id"), "vec")
@@ -109,6 +120,8 @@ QUERIES = {
     "p1_survivors": p1_survivors,
     "p2_found": p2_found,
     "p2_top_gaps": p2_top_gaps,
+    "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
     "p7_found": p7_found,
