@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import quality
+from weftline.plans import discovery, quality
 
-MODULES = (quality,)
+MODULES = (discovery, quality)
 
 
 def queries() -> dict:
