@@ -558,7 +558,10 @@ def pair_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query()
+_NAMES = "nm AS (SELECT name, max(id) AS id FROM (SELECT id, trim(lower(unnest([en_name, jp_name, zh_name])), ' ' || chr(9) || chr(160) || chr(12288)) AS name FROM con) WHERE length(name) > 3 GROUP BY 1)"
+
+
+@query(f"WITH {CON}, {_NAMES} SELECT con.id AS source, nm.id AS target, min(nm.name) AS name FROM con JOIN nm ON contains(lower(con.definition), nm.name) AND nm.id <> con.id GROUP BY 1, 2")
 def mention_edges(spark: SparkSession, d: str) -> DataFrame:
     """Definitions that mention another concept's name."""
     c = concepts(spark, d)

@@ -43,7 +43,7 @@ def read_html(spark: SparkSession, directory: str, pattern: str = "*.html") -> D
     body = F.regexp_replace(F.regexp_replace(body, r"(?i)<(br|/p|/div|/h[1-6]|/li|/tr)\b[^>]*>", "\n"), r"(?s)<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         body = F.replace(body, F.lit(entity), F.lit(char))
-    return raw.select(sanitize_source_id(stem(name)).alias("source_id"), name.alias("source_file"), F.trim(body).alias("text"))
+    return raw.select(sanitize_source_id(stem(name)).alias("source_id"), name.alias("source_file"), strip(body).alias("text"))
 
 
 def read_chunks(spark: SparkSession, directory: str) -> DataFrame:
@@ -56,14 +56,14 @@ def _with_folder(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
 
 
 def read_concept_files(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    """Concepts of all extraction files, and the files that can't be read ``(path, reason)``.
+    """Concepts of all extraction files, and the files that can't be read ``(path, source_id, reason)``.
 
     In a folder with a ``concepts.json`` only that file counts.
     """
     files = _with_folder(spark, f"{directory}/*/*.json", schemas.EXTRACTION)
     merged = (F.col("file") == "concepts.json").cast("int")
     chosen = files.withColumn("_m", merged).withColumn("_any", F.max("_m").over(Window.partitionBy("folder"))).where("_m = _any")
-    bad = chosen.where(F.col("_corrupt").isNotNull()).select("path", F.lit("malformed").alias("reason"))
+    bad = chosen.where(F.col("_corrupt").isNotNull()).select("path", "source_id", F.lit("malformed").alias("reason"))
     good = chosen.where(F.col("_corrupt").isNull()).select(F.coalesce("source_id", "folder").alias("source_id"), "path", F.inline("concepts"))
     return good, bad
 
