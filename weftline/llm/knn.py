@@ -2,8 +2,9 @@
 
 * Centroids are fitted on the driver on a bounded sample (at most ``SAMPLE_MAX`` vectors, chosen by a hash of the
   id); every vector is indexed, in the cell of its nearest centroid.
-* A vector searches its own cell and every cell whose centroid is nearly as close (``margin`` in cosine, and at
-  least ``min_probes`` cells).
+* A vector searches its own cell and every cell whose centroid is nearly as close. How nearly is measured: for at most
+  ``PROBES_MEASURED`` vectors, chosen by a hash, the true neighbours are found by brute force over all rows, and the
+  margin (in cosine) is the one that reaches ``RECALL`` of them.
 * In a cell each vector is one bit per rotated coordinate of its residual to the cell's mean, packed into words, with
   three correction scalars. A query is quantised to four bits per coordinate; and + popcount of its bit planes
   gives an estimate of the inner product with an error bound. Every vector whose upper bound reaches the k-th best
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 SAMPLE_MAX = 65_536
 CELLS_MAX = 4_096
 COPIES_MAX = 256
+PROBES_MEASURED = 256
+RECALL = 0.99
 EPSILON = 1.9  # width of the error bound in standard deviations of the estimate
 QUERY_BITS = 4
 
@@ -171,20 +174,30 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
 
 
-def nearest(vectors: DataFrame, id_col: str = "id", vec_col: str = "vec", k: int = 3, dim: int = 64, cell_rows: int = 1024, margin: float = 0.06, min_probes: int = 2) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "id", vec_col: str = "vec", k: int = 3, dim: int = 64, cell_rows: int = 1024, recall: float = RECALL) -> DataFrame:
     """``(id, neighbour, similarity)``: the k most similar vectors of every usable vector."""
     spark = vectors.sparkSession
     rows = usable_vectors(vectors, id_col, vec_col, dim)
     rows, copies, n = _set_copies_aside(rows, k)
     cells = int(max(1, min(CELLS_MAX, n // cell_rows)))
     every = max(1, -(-n // min(SAMPLE_MAX, 64 * cells)))
-    picked = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(every)) == 0).select("vec").limit(SAMPLE_MAX).toArrow()["vec"]
-    sample = _matrix(picked, dim) if len(picked) else np.zeros((0, dim), np.float32)
+    # Residue 0 is the sample; of residue 1, so that they are not what the centroids were fitted to, come the vectors
+    # whose neighbours are found by brute force.
+    part = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(every))
+    few = F.pmod(F.xxhash64(F.lit("probe"), "id"), F.lit(max(1, n // every // PROBES_MEASURED))) == 0
+    probe = (part == 1 % every) & few
+    picked = rows.where((part == 0) | probe).select("vec", (part == 0).alias("s"), probe.alias("p")).limit(2 * SAMPLE_MAX).toArrow()
+
+    def units(flag: str, most: int) -> np.ndarray:
+        x = picked.filter(picked[flag])["vec"]
+        x = _matrix(x, dim)[:most].astype(np.float64) if len(x) else np.zeros((0, dim))
+        return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)).astype(np.float32)
+
+    sample = units("s", SAMPLE_MAX)
     if len(sample) < cells * 4:
         cells = max(1, len(sample) // 4)
-    sample = sample / np.maximum(np.linalg.norm(sample.astype(np.float64), axis=1, keepdims=True), 1e-30)
-    sample = sample.astype(np.float32)
     centroids = fit_cells(sample, cells) if len(sample) >= max(cells, 1) else np.zeros((1, dim), np.float32)
+    margin = measured_margin(rows, centroids, units("p", 2 * PROBES_MEASURED), k, dim, recall)
     load = np.bincount((sample @ centroids.T).argmax(1), minlength=cells) * every if len(sample) else np.zeros(cells)
     blocks = np.maximum(1, np.ceil(load / (8 * cell_rows))).astype(np.int32)
     shared = spark.sparkContext.broadcast((centroids, blocks))  # at most CELLS_MAX rows
@@ -202,10 +215,6 @@ def nearest(vectors: DataFrame, id_col: str = "id", vec_col: str = "vec", k: int
                 sim = unit[i : i + 2048] @ cents.T
                 home = sim.argmax(1)
                 probe = sim >= sim.max(1, keepdims=True) - margin
-                if sim.shape[1] > min_probes:
-                    probe[np.arange(len(sim))[:, None], np.argpartition(-sim, min_probes - 1, axis=1)[:, :min_probes]] = True
-                else:
-                    probe[:] = True
                 r, c = np.nonzero(probe)
                 many = nblocks[c]
                 at = np.repeat(np.arange(len(r)), many)
@@ -241,6 +250,38 @@ def nearest(vectors: DataFrame, id_col: str = "id", vec_col: str = "vec", k: int
     return out if copies is None else out.unionByName(_copies_neighbours(copies, out, k))
 
 
+def measured_margin(rows: DataFrame, centroids: np.ndarray, queries: np.ndarray, k: int, dim: int, recall: float) -> float:
+    """How much farther than the nearest centroid the cells must be searched that hold ``recall`` of the neighbours.
+
+    Each batch of rows answers with its k + 1 best for each query (one may be the query itself), as cosine and margin.
+    """
+    if len(centroids) == 1 or not len(queries):
+        return 2.0
+    spark = rows.sparkSession
+    near = queries @ centroids.T
+    shared = spark.sparkContext.broadcast((centroids, queries, near.max(1, keepdims=True) - near))
+
+    def work(batches):
+        cents, q, behind = shared.value
+        for batch in batches:
+            vecs = _matrix(batch.column("vec"), dim)
+            if not len(vecs):
+                continue
+            unit = (vecs / np.linalg.norm(vecs.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
+            sim = q @ unit.T
+            top = np.argpartition(-sim, min(k, len(unit) - 1), axis=1)[:, : k + 1]
+            home = (unit[top.ravel()] @ cents.T).argmax(1).reshape(top.shape)
+            at = np.repeat(np.arange(len(q)), top.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(str)), pa.array(sim[at, top.ravel()].astype(np.float64)), pa.array(behind[at, home.ravel()].astype(np.float64))], ["q", "s", "margin"])
+
+    best = rows.select("vec").mapInArrow(work, "q string, s double, margin double")
+    # The best is the query itself, whose margin is zero.
+    from weftline.llm.topn import top_n
+
+    margins = np.array([r.margin for r in top_n(best.withColumn("i", F.col("margin").cast("string")), "q", "s", "i", k + 1, keep=["margin"]).where("rank > 1").select("margin").collect()])
+    return float(np.quantile(margins, recall)) + 1e-6 if len(margins) else 2.0
+
+
 def _set_copies_aside(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None, int]:
     """Leave k + 1 members of every large class of equal vectors in the index.
 

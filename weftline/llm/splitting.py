@@ -44,20 +44,24 @@ SLACK = 16
 FILL = 0.5
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, NONE = 5, 4, 3, 2, 1, 0
 
-SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
+SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 4  # UNKNOWN: not assigned, Unicode versions may differ
 SENTENCE_END = ".!?。！？…．｡"
 CLAUSE_END = ",;:、，；：､"
 CLOSERS = "\"')]}」』）】〉》”’〕］｝"
 
 
+def _kind(c: str) -> int:
+    cat = unicodedata.category(c)
+    return UNKNOWN if cat == "Cn" else {"L": LETTER, "N": NUMBER}.get(cat[0], OTHER)
+
+
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Class of every character of the basic plane, and its role: 3 ends a sentence, 2 a clause, 1 closes."""
     kind = np.full(0x10000, OTHER, np.uint8)
     for i in range(0x10000):
         c = chr(i)
-        cat = unicodedata.category(c)[0]
-        kind[i] = SPACE if c.isspace() and not 0x1C <= i <= 0x1F else LETTER if cat == "L" else NUMBER if cat == "N" else OTHER
+        kind[i] = SPACE if c.isspace() and not 0x1C <= i <= 0x1F else _kind(c)
     role = np.zeros(0x10000, np.uint8)
     for chars, r in ((SENTENCE_END, 3), (CLAUSE_END, 2), (CLOSERS, 1)):
         role[[ord(c) for c in chars]] = r
@@ -68,8 +72,7 @@ def _kinds(points: np.ndarray) -> np.ndarray:
     kind, _ = _tables()
     out = kind[np.minimum(points, 0xFFFF)]
     for i in np.flatnonzero(points > 0xFFFF):
-        cat = unicodedata.category(chr(points[i]))[0]
-        out[i] = LETTER if cat == "L" else NUMBER if cat == "N" else OTHER
+        out[i] = _kind(chr(points[i]))
     return out
 
 
@@ -87,7 +90,7 @@ def safe_cuts(points: np.ndarray) -> np.ndarray:
     out = np.zeros(len(points), bool)
     a, b = k[:-1], k[1:]
     left = points[:-1]
-    out[1:] = np.where(a == SPACE, (b != SPACE) & (left != 32), (b == SPACE) | ((a != b) & (left != 39)))
+    out[1:] = np.where(a == SPACE, (b != SPACE) & (left != 32), (b == SPACE) | ((a != b) & (a != UNKNOWN) & (b != UNKNOWN) & (left != 39)))
     return out
 
 
