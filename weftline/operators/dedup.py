@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import normalize_text, strip
+from weftline.session import cut_lineage
 
 QUOTES = 5
 BROADCAST_ROWS = 50_000
@@ -47,7 +48,8 @@ def assign_ids(rows: DataFrame, order: str, prefix: str = "SCS-", width: int = 4
     start = 0
     if existing is not None:
         start = existing.agg(F.max(F.regexp_extract(F.col(id_col), rf"^{prefix}(\d+)$", 1).try_cast("long"))).first()[0] or 0
-    cut = rows.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id()).persist()
+    cut = rows.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
+    cut = cut_lineage(cut)  # the ranges are sampled: both uses must see the same
     sizes = cut.groupBy("_p").count().withColumn("_base", F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_base", F.lit(0)).alias("_base"))
     n = F.row_number().over(Window.partitionBy("_p").orderBy(order)) + F.col("_base") + start
     return cut.join(F.broadcast(sizes), "_p").withColumn(id_col, F.concat(F.lit(prefix), F.when(n < 10**width, F.lpad(n.cast("string"), width, "0")).otherwise(n.cast("string")))).drop("_p", "_base")

@@ -6,8 +6,6 @@ per key, written as a new version for every batch, so a batch that is retried af
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +29,11 @@ def orphan_state_writer(base: str, to_deltas):
 
 
 def latest_state(spark, base: str) -> DataFrame:
-    versions = [int(d.split("=")[1]) for d in os.listdir(base) if d.startswith("batch=")]
-    return spark.read.parquet(f"{base}/batch={max(versions)}")
+    """The state after the last batch, on whatever file system it lies."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/batch=*")
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    last = max(int(f.getPath().getName().split("=")[1]) for f in found)
+    return spark.read.parquet(f"{base}/batch={last}")
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, value: str, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
