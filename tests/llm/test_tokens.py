@@ -132,6 +132,14 @@ def test_best_fit_takes_the_tightest():
     assert packing.best_fit([60, 50, 40], [0, 0, 0], [1, 1, 1], 100) == [0, 1, 0]
 
 
+def test_many_copies_of_one_text():
+    sizes = [10] * 40_000
+    where = packing.best_fit(sizes, [1] * 20_000 + [0] * 20_000, [2] * 40_000, 2048)
+    assert len(set(where[:20_000])) == 20_000 and len(set(where)) == 20_000
+    mixed = packing.best_fit([60] * 300 + [10] * 300, [0] * 300 + [1] * 300, [0] * 600, 100)
+    assert len(set(mixed[300:])) == 300 and len(set(mixed)) == 300
+
+
 def test_containers(spark):
     words = "alpha beta gamma delta. "
     rows = [(i, words * (i % 23 + 1), f"s{i % 3}") for i in range(200)] + [(900, words * 400, None), (901, None, "s"), (902, "", "s"), (903, words * 5, "x"), (904, words * 5, "y")]
