@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import normalize_text, strip
+from weftline.functions.similarity import similarity_tier, structural_similarity, tier_action
+from weftline.functions.text import normalize_text, string_similarity, strip
 from weftline.session import cut_lineage
 
 QUOTES = 5
@@ -67,7 +68,7 @@ def similar_names(classes: DataFrame, threshold: float) -> DataFrame:
     # The shorter string is cut once for every length the longer one may have.
     short = n.select("norm", "len", F.explode(F.sequence(F.col("len"), F.greatest(F.col("len"), F.floor(F.col("len") / threshold + 1e-9).cast("int")))).alias("other")).withColumn("d", allowed(F.col("other")))
     parts = F.sequence(F.lit(0), F.least(F.col("d"), F.col("len") - 1))
-    edge = lambda i: F.floor(i * F.col("len") / (F.least(F.col("d"), F.col("len") - 1) + 1)).cast("int")
+    edge = lambda i: F.floor(F.try_divide(i * F.col("len"), F.least(F.col("d"), F.col("len") - 1) + 1)).cast("int")
     seg = short.select("norm", "other", F.explode(F.transform(parts, lambda i: F.struct(edge(i).alias("at"), F.substring(F.col("norm"), edge(i) + 1, edge(i + 1) - edge(i)).alias("s")))).alias("e"))
     seg = seg.select(F.col("norm").alias("x"), "other", F.col("e.at").alias("at"), F.col("e.s").alias("s"), F.length("e.s").alias("n"))
     # Substrings of the longer string of the lengths that occur, at any place; the shift is checked in the join.
@@ -76,10 +77,40 @@ def similar_names(classes: DataFrame, threshold: float) -> DataFrame:
     probe = n.select("norm", "len", F.explode(both).alias("n")).where("n <= len").select("norm", "len", "n", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("n"))).alias("at"))
     probe = probe.select(F.col("norm").alias("y"), F.col("len").alias("other"), "n", F.col("at").alias("at2"), F.substring(F.col("norm"), F.col("at") + 1, F.col("n")).alias("s"))
     found = seg.join(probe, ["other", "n", "s"]).where((F.col("x") != F.col("y")) & (F.abs(F.col("at") - F.col("at2")) <= allowed(F.col("other")))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    sim = 1 - F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y"))
+    sim = 1 - F.try_divide(F.levenshtein("x", "y"), F.greatest(F.length("x"), F.length("y")))
     return found.withColumn("similarity", sim).where(F.col("similarity") >= threshold - 1e-12)
 
 
+def duplicate_candidates(concepts: DataFrame, threshold: float = 0.6, name_least: float = 0.4) -> DataFrame:
+    """Pairs of records that may be one: ``0.5 name + 0.3 definition + 0.2 structure`` of at least ``threshold``.
+
+    ``concepts``: id, en_name, jp_name, definition, concept_type, country_tag, four_axis. The name similarity is the
+    better one of the two names and must reach ``name_least``. Records of equal names are one class, represented by
+    the smallest id: pairs are between representatives, with the sizes of the classes.
+    """
+    named = concepts.withColumn("n1", normalize_text(F.coalesce("en_name", F.lit("")))).withColumn("n2", normalize_text(F.coalesce("jp_name", F.lit("")))).where("n1 <> '' OR n2 <> ''")
+    fields = F.struct("definition", "concept_type", "country_tag", F.coalesce("four_axis", F.array().cast("array<string>")).alias("four_axis"))
+    rep = named.groupBy("n1", "n2").agg(F.min("id").alias("id"), F.count("*").alias("members"), F.min_by(fields, "id").alias("f"))
+    pairs = None
+    for n in ("n1", "n2"):
+        names = rep.where(F.col(n) != "").select(F.col(n).alias("norm"), "id")
+        near = similar_names(names.select("norm").distinct(), name_least)
+        equal = names.select(F.col("norm").alias("x"), F.col("norm").alias("y"), F.lit(1.0).alias("similarity")).distinct()
+        both = near.unionByName(equal)
+        one = both.join(names.select(F.col("norm").alias("x"), F.col("id").alias("i")), "x").join(names.select(F.col("norm").alias("y"), F.col("id").alias("j")), "y").where("i <> j")
+        one = one.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"), "similarity")
+        pairs = one if pairs is None else pairs.unionByName(one)
+    best = pairs.groupBy("id_a", "id_b").agg(F.max("similarity").alias("name_similarity"))
+    a = rep.select(F.col("id").alias("id_a"), F.col("members").alias("members_a"), F.col("f").alias("a"))
+    b = rep.select(F.col("id").alias("id_b"), F.col("members").alias("members_b"), F.col("f").alias("b"))
+    d = string_similarity(F.col("a.definition"), F.col("b.definition"))
+    s = structural_similarity(F.col("a.concept_type"), F.col("b.concept_type"), F.col("a.country_tag"), F.col("b.country_tag"), F.col("a.four_axis"), F.col("b.four_axis"))
+    out = best.join(a, "id_a").join(b, "id_b").withColumn("definition_similarity", d).withColumn("structural_similarity", s)
+    out = out.withColumn("overall", 0.5 * F.col("name_similarity") + 0.3 * F.col("definition_similarity") + 0.2 * F.col("structural_similarity")).where(F.col("overall") >= threshold)
+    tier = similarity_tier(F.col("overall"), 0.9, 0.8, threshold)
+    return out.select("id_a", "id_b", "members_a", "members_b", "name_similarity", "definition_similarity", "structural_similarity", "overall", tier.alias("confidence"), tier_action(tier).alias("action"))
+
+
 def cosine_search(vectors: DataFrame, queries: DataFrame, threshold: float, upper: float | None = None) -> DataFrame:
     """``(query, id, similarity)`` of every query against all vectors, in blocks; a query is not its own match.
 

@@ -304,6 +304,19 @@ def levenshtein_dups(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "WITH rep AS (SELECT p_name AS name, min(p_partkey) AS id, count(*) AS m, arg_min(p_type, p_partkey) AS t, arg_min(p_brand, p_partkey) AS c FROM part GROUP BY 1), "
+    "q AS (SELECT x.id AS i, y.id AS j, x.m AS mi, y.m AS mj, 1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name)) AS ns, 1 - levenshtein(lower(x.t), lower(y.t)) / greatest(length(x.t), length(y.t)) AS ds, "
+    "CASE WHEN x.t = y.t THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN x.c = y.c THEN 0.2::DOUBLE ELSE 0 END AS ss FROM rep x JOIN rep y ON x.id < y.id) "
+    "SELECT i AS id_a, j AS id_b, mi AS members_a, mj AS members_b, round(0.5::DOUBLE * ns + 0.3::DOUBLE * ds + 0.2::DOUBLE * ss, 6) AS overall FROM q WHERE ns >= 0.4 - 1e-12 AND 0.5::DOUBLE * ns + 0.3::DOUBLE * ds + 0.2::DOUBLE * ss >= 0.6"
+)
+def duplicate_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Likely duplicates by names, definitions and structure; parts stand for concepts."""
+    p = table(spark, d, "part")
+    c = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("en_name"), F.lit(None).cast("string").alias("jp_name"), F.col("p_type").alias("definition"), F.col("p_type").alias("concept_type"), F.col("p_brand").alias("country_tag"), F.lit(None).cast("array<string>").alias("four_axis"))
+    return dedup.duplicate_candidates(c).select("id_a", "id_b", "members_a", "members_b", F.round("overall", 6).alias("overall"))
+
+
 _COS = "cs AS (SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)"
 
 
