@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import components, queries, survivorship, topn
 
@@ -77,7 +78,8 @@ def test_p1_edges(spark):
         ("C1", None, None, "d", ["q"], ["q"], ["q"], "llm_v2", NOW, None, None),
     ]
     trust = spark.createDataFrame([("llm_v2", 3)], "provenance string, trust int")
-    wide = survivorship.survivors(survivorship.concept_groups(spark.createDataFrame(rows, CONCEPT).drop("g"), trust), queries.ATTRIBUTES)
+    clash = spark.createDataFrame(rows, CONCEPT).withColumns({c: F.lit(1) for c in ("trust", "p", "rid", "en_key", "v0", "age", "group_id")})
+    wide = survivorship.survivors(survivorship.concept_groups(clash, trust), queries.ATTRIBUTES)
     assert {tuple(r) for r in survivorship.suppliers(wide, queries.ATTRIBUTES).collect()} == {("A1", "definition", "A1"), ("A1", "four_axis", "A1"), ("A1", "source_papers", "A2"), ("B1", "definition", "B1")}
     empty = survivorship.concept_groups(spark.createDataFrame([], CONCEPT).drop("g"), trust)
     assert survivorship.survivors(empty, queries.ATTRIBUTES).count() == 0
@@ -118,7 +120,8 @@ def test_components(spark, kind):
         "star": [("M", f"N{i:03d}") for i in range(500)] * 2 + [(f"N{i:03d}", "M") for i in range(50)],
         "empty": [],
     }[kind]
-    got = components.connected_components(spark.createDataFrame(pairs, "a string, b string")).collect()
+    df = spark.createDataFrame(pairs, "a string, b string").withColumns({c: F.lit(1) for c in ("u", "v", "m", "id", "group_id")})
+    got = components.connected_components(df).collect()
     assert len(got) == len(set(map(tuple, got)))
     assert set(map(tuple, got)) == _brute_components(pairs)
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weftline.llm import mixing, packing, queries, splitting
 from weftline.llm.tokens import PATTERN, load
@@ -143,7 +144,7 @@ def test_many_copies_of_one_text():
 def test_containers(spark):
     words = "alpha beta gamma delta. "
     rows = [(i, words * (i % 23 + 1), f"s{i % 3}") for i in range(200)] + [(900, words * 400, None), (901, None, "s"), (902, "", "s"), (903, words * 5, "x"), (904, words * 5, "y")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source_id string").withColumnRenamed("x", "x")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source_id string").withColumns({c: F.lit(1) for c in ("id", "piece", "tokens", "cluster", "shard", "container_id")})
     got = packing.pack(packing.items(docs, 128), 128).collect()
     tok = load()
     texts = {i: t for i, t, _ in rows}
@@ -192,7 +193,7 @@ def test_mixture(spark):
     rnd = random.Random(4)
     rows = [(i, "word " * rnd.randrange(1, 60) + str(i), rnd.choice(["A", " a", "b ", "B-x", "other", None])) for i in range(600)]
     rows += [(1000 + i, rows[i][1], "B x") for i in range(30)] + [(5000, None, "a"), (5001, "", "a")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("id", "s", "digest", "n", "pattern", "use", "tokens")})
     mix = spark.createDataFrame([("a", 0.6, 1), ("b_x", 0.3, 3), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
     chosen, report = mixing.mixture(docs, mix)
     got = chosen.collect()

@@ -78,19 +78,20 @@ def folded_name(c: Column) -> Column:
     return F.when(folded != "", folded)
 
 
-def concept_groups(concepts: DataFrame, trust: DataFrame) -> DataFrame:
-    """Live concept records with group key (``g``), id, trust and recency; the value columns stay."""
+def concept_groups(concepts: DataFrame, trust: DataFrame, keep: Sequence[str] = ("definition", "four_axis", "context_quotes", "source_papers")) -> DataFrame:
+    """Live concept records: group key ``g``, ``rid``, ``trust``, ``extraction_date`` and the columns of ``keep``.
+
+    Everything else is projected away first, so columns of any other name can't clash.
+    """
     ranks = trust.select(_provenance("provenance").alias("p"), F.col("trust").cast("int").alias("trust")).groupBy("p").agg(F.max("trust").alias("trust"))
-    en, jp = folded_name(F.col("en_name")), folded_name(F.col("jp_name"))
+    rows = concepts.where(F.col("deleted_at").isNull()).select(
+        canonical_id("concept_id").alias("rid"), _provenance("provenance").alias("p"), folded_name(F.col("en_name")).alias("en_key"), folded_name(F.col("jp_name")).alias("jp_key"), "extraction_date", *keep
+    )
+    key = F.when(F.col("en_key").isNotNull(), F.concat(F.lit("e:"), "en_key")).otherwise(F.concat(F.lit("j:"), "jp_key"))
     return (
-        concepts.where(F.col("deleted_at").isNull())
-        .withColumn("rid", canonical_id("concept_id"))
-        .withColumn("p", _provenance("provenance"))
-        .withColumn("en_key", en).withColumn("jp_key", jp)
-        .withColumn("g", F.when(F.col("en_key").isNotNull(), F.concat(F.lit("e:"), "en_key")).otherwise(F.concat(F.lit("j:"), "jp_key")))
-        .where(F.col("rid").isNotNull() & F.col("g").isNotNull())
+        rows.withColumn("g", key).where(F.col("rid").isNotNull() & F.col("g").isNotNull())
         .join(ranks, "p", "left")
-        .withColumn("trust", F.coalesce("trust", F.lit(0)))
+        .select("g", "rid", F.coalesce("trust", F.lit(0)).alias("trust"), "extraction_date", *keep)
     )
 
 
