@@ -200,3 +200,14 @@ def test_manual_edges(spark):
     assert [tuple(r) for r in missing.collect()] == [("A", "X", "X")]
     rel = maintain.add_related(spark.createDataFrame([("A", None), ("B", ["Z"])], "id string, related_concepts array<string>"), manual.select("source", "target"))
     assert {r.id: r.related_concepts for r in rel.collect()} == {"A": ["B", "X"], "B": ["Z", "A", "C"]}
+
+
+def test_lookup_and_layout(spark):
+    from weftline.operators import cooccurrence
+
+    pairs = spark.createDataFrame([("b", "a"), ("c", "d")], "a string, c string")
+    known = spark.createDataFrame([("a", "b", "known", 0.9)], "x string, y string, text string, confidence double")
+    got = {(r.a, r.c): (r.hypothesis, r.confidence) for r in cooccurrence.lookup_hypotheses(pairs, known).collect()}
+    assert got == {("b", "a"): ("known", 0.9), ("c", "d"): ("c × d", 0.5)}
+    place = cooccurrence.circular_layout(spark.range(4), "id", 4).orderBy("id").collect()
+    assert (round(place[0].x), round(place[0].y)) == (580, 250) and (round(place[1].x), round(place[1].y)) == (400, 430)
