@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from weftline import schemas
@@ -17,6 +19,8 @@ def test_run(spark, small):
     assert relations.where("source = target").count() == 0
     pred = pipelines.predict(con, "id")
     assert pred.count() == con.count() and pred.where("size(labels) = 0 OR dominant_axis IS NULL").count() == 0
+    examples = pipelines.condition_examples(discovery.condition_recommend(spark, small)).collect()
+    assert 1 <= len(examples) <= 3 and all("recommended" in json.loads(r.output) and len(json.loads(r.input)) == 5 for r in examples)
     edges = discovery.edges(spark, small)
     new_edges = pipelines.infer_hierarchy(con, discovery.candidate_pairs(spark, small).where("cos IS NOT NULL"), edges, "id")
     assert new_edges.where("source = target").count() == 0

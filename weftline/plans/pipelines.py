@@ -70,3 +70,18 @@ def merge_duplicates(concepts: DataFrame, edges: DataFrame, candidates: DataFram
     plan = maintain.merge_plan(candidates, confidence)
     mapping = maintain.greedy_map(plan, concepts.select("id"))
     return plan, maintain.apply_merges(concepts, mapping), maintain.redirect(edges, mapping)
+
+
+CONDITION_NAMES = ("透明性要件", "救済メカニズム", "民間関与度", "データ連結度", "制裁強度")
+
+
+def condition_examples(recommended: DataFrame) -> DataFrame:
+    """Training examples ``(instruction, input, output)`` from ``(condition, verdict, name, rank)``.
+
+    A condition without recommendation gives none; input and output are JSON in a string.
+    """
+    spark = recommended.sparkSession
+    texts = spark.createDataFrame([(i, dict(zip(CONDITION_NAMES, c))) for i, c in enumerate(rules.CONDITIONS)], "condition int, c map<string,string>")
+    names = lambda v: F.array_sort(F.collect_list(F.when(F.col("verdict") == v, F.col("name")))).alias(v)
+    rows = recommended.groupBy("condition").agg(names("recommended"), names("not_recommended")).where(F.size("recommended") > 0)
+    return rows.join(texts, "condition").select(F.lit("以下の条件を満たすSCS制度要素を推薦してください。").alias("instruction"), F.to_json("c").alias("input"), F.to_json(F.struct("recommended", "not_recommended")).alias("output"))
