@@ -10,11 +10,22 @@ from weftline.operators.graph import adjacency, degrees
 GENERIC_CONFIDENCE = 0.5
 
 
-def roll_up(rows: DataFrame, key: Column, source: str, domain: str, kind: str, order: str) -> DataFrame:
-    """One node per key: sources, domains, occurrences and the first type."""
-    return rows.withColumn("key", key).where("key IS NOT NULL").groupBy("key").agg(
-        F.array_sort(F.collect_set(source)).alias("sources"), F.array_sort(F.collect_set(domain)).alias("domains"), F.count("*").alias("contexts"), F.min_by(kind, order).alias("type")
-    )
+def roll_up(rows: DataFrame, key: Column, source: str, domain: str, kind: str, order: str, sets: bool = False) -> DataFrame:
+    """One node per key: number of sources, domains and occurrences, and the first type.
+
+    ``sets`` gives the sources and domains themselves, for nodes that are small by nature.
+    """
+    many = (lambda c: F.array_sort(F.collect_set(c))) if sets else F.countDistinct
+    return rows.withColumn("key", key).where("key IS NOT NULL").groupBy("key").agg(many(source).alias("sources"), many(domain).alias("domains"), F.count("*").alias("contexts"), F.min_by(kind, order).alias("type"))
+
+
+def set_marks(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """``(key, size, mark)``: size and fingerprint of the set of items of every key; equal sets have equal marks.
+
+    Sums and exclusive ors of 64-bit hashes: partial aggregation, nothing is gathered however large a set is.
+    """
+    d = rows.where(F.col(key).isNotNull() & F.col(item).isNotNull()).select(F.col(key).alias("key"), F.col(item).alias("i")).distinct()
+    return d.groupBy("key").agg(F.count("*").alias("size"), F.struct(F.bit_xor(F.xxhash64("i")).alias("x"), F.sum(F.xxhash64(F.lit(1), "i").cast("decimal(20,0)")).alias("s")).alias("mark"))
 
 
 def pairs_within(rows: DataFrame, group: str, item: str) -> DataFrame:
@@ -31,20 +42,18 @@ def pairs_within(rows: DataFrame, group: str, item: str) -> DataFrame:
 def unlinked_pairs(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     """``(a, c, bridge_potential, jaccard, novelty)`` of unlinked pairs with a common neighbour.
 
-    ``sources``: (key, sources). Pairs with equal source sets are left out.
+    ``sources``: (key, size, mark) of :func:`set_marks`. Pairs with equal source sets are left out.
     """
     adj = adjacency(pairs)
-    deg = degrees(adj)
     x = adj.select(F.col("src").alias("m"), F.col("dst").alias("a"))
     y = adj.select(F.col("src").alias("m"), F.col("dst").alias("c"))
     common = x.join(y, "m").where("a < c").groupBy("a", "c").agg(F.count("*").alias("bridge_potential"))
     open_ = common.join(pairs.select("a", F.col("b").alias("c")), ["a", "c"], "left_anti")
-    sa = sources.select(F.col("key").alias("a"), F.array_sort("sources").alias("sa"))
-    sc = sources.select(F.col("key").alias("c"), F.array_sort("sources").alias("sc"))
-    both = open_.join(sa, "a").join(sc, "c").where("sa <> sc")
-    both = both.join(deg.select(F.col("src").alias("a"), F.col("degree").alias("da")), "a").join(deg.select(F.col("src").alias("c"), F.col("degree").alias("dc")), "c")
+    node = degrees(adj).withColumnRenamed("src", "key").join(sources, "key")
+    side = lambda e: node.select(F.col("key").alias(e), F.col("degree").alias(f"d{e}"), F.col("size").alias(f"n{e}"), F.col("mark").alias(f"m{e}"))
+    both = open_.join(side("a"), "a").join(side("c"), "c").where("na <> nc OR ma <> mc")
     union = F.col("da") + F.col("dc") - F.col("bridge_potential")
-    return both.select("a", "c", "bridge_potential", (F.col("bridge_potential") / union).alias("jaccard"), F.when(F.size("sa") != F.size("sc"), "high").otherwise("medium").alias("novelty"))
+    return both.select("a", "c", "bridge_potential", (F.col("bridge_potential") / union).alias("jaccard"), F.when(F.col("na") != F.col("nc"), "high").otherwise("medium").alias("novelty"))
 
 
 def lookup_hypotheses(pairs: DataFrame, known: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ and the result is exact. Copies of one name are one class; pairs are between cla
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.similarity import similarity_tier, structural_similarity, tier_action
 from weftline.functions.text import normalize_text, string_similarity, strip
+from weftline.operators.ranking import top_in_group
 from weftline.session import cut_lineage
 
 QUOTES = 5
@@ -27,18 +28,34 @@ def dedup_key(en: Column, jp: Column) -> Column:
     return F.when(en != "", en).when(jp != "", jp)
 
 
+def union_sets(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``(key, columns...)``: the sorted union of the arrays of each column. Entries are made distinct before they are
+    gathered, so what a group holds is its result and not its rows."""
+    one = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.coalesce(c, F.array().cast("array<string>")).alias("a")) for i, c in enumerate(columns)]))
+    values = rows.select(key, one.alias("e")).select(key, F.col("e.i").alias("i"), F.explode_outer("e.a").alias("v")).distinct()
+    return values.groupBy(key).agg(*[F.array_sort(F.collect_set(F.when(F.col("i") == i, F.col("v")))).alias(c) for i, c in enumerate(columns)])
+
+
+def first_entries(rows: DataFrame, key: str, column: str, order: Column | str, n: int) -> DataFrame:
+    """``(key, column)``: the first ``n`` different entries of an array column, by row order and place."""
+    order = F.col(order) if isinstance(order, str) else order
+    each = rows.select(key, order.alias("_o"), F.posexplode(column).alias("_p", "_v")).where("_v IS NOT NULL")
+    seen = each.groupBy(key, "_v").agg(F.min(F.struct("_o", "_p")).alias("_at"))
+    top = top_in_group(seen, key, [F.col("_at")], n)
+    return top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_v"))), lambda x: x["_v"]).alias(column))
+
+
 def deduplicate(concepts: DataFrame, order: str, scalars: tuple[str, ...], sets: tuple[str, ...], quotes: str | None = None) -> DataFrame:
     """One row per key (English, else Japanese name): scalars of the first row, sets united, quotes capped at 5.
 
     Sets come out sorted; quotes in first-seen order. Rows without a name are dropped.
     """
     keyed = concepts.withColumn("key", dedup_key(F.col("en_name"), F.col("jp_name"))).where("key IS NOT NULL")
-    empty = F.array().cast("array<string>")
-    aggs = [F.min_by(F.struct(*scalars), order).alias("_first"), F.count("*").alias("records")]
-    aggs += [F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(c, empty))))).alias(c) for c in sets]
+    out = keyed.groupBy("key").agg(F.min_by(F.struct(*scalars), order).alias("_first"), F.count("*").alias("records"))
+    out = out.join(union_sets(keyed, "key", sets), "key")
     if quotes:
-        aggs.append(F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(quotes, empty).alias("q")))), lambda x: x["q"]))), 1, QUOTES).alias(quotes))
-    return keyed.groupBy("key").agg(*aggs).select("key", "_first.*", "records", *sets, *([quotes] if quotes else []))
+        out = out.join(first_entries(keyed, "key", quotes, order, QUOTES), "key", "left").withColumn(quotes, F.coalesce(quotes, F.array().cast("array<string>")))
+    return out.select("key", "_first.*", "records", *sets, *([quotes] if quotes else []))
 
 
 def assign_ids(rows: DataFrame, order: str, prefix: str = "SCS-", width: int = 4, existing: DataFrame | None = None, id_col: str = "concept_id") -> DataFrame:

@@ -431,11 +431,11 @@ def cooccurrence_edges(spark: SparkSession, d: str) -> DataFrame:
     return part_pairs(spark, d)
 
 
-@query(f"WITH it AS (SELECT l_partkey AS key, l_orderkey AS o, l_returnflag AS f, l_linenumber AS n FROM lineitem WHERE l_quantity >= {QUANTITY}) SELECT key, count(DISTINCT o) AS sources, array_to_string(list_sort(list_distinct(list(f))), ',') AS domains, count(*) AS contexts FROM it GROUP BY 1")
+@query(f"WITH it AS (SELECT l_partkey AS key, l_orderkey AS o, l_returnflag AS f, l_linenumber AS n FROM lineitem WHERE l_quantity >= {QUANTITY}) SELECT key, count(DISTINCT o) AS sources, count(DISTINCT f) AS domains, count(*) AS contexts FROM it GROUP BY 1")
 def node_rollup(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").where(F.col("l_quantity") >= QUANTITY)
     n = cooccurrence.roll_up(rows, F.col("l_partkey"), "l_orderkey", "l_returnflag", "l_linestatus", "l_orderkey")
-    return n.select("key", F.size("sources").cast("long").alias("sources"), F.array_join("domains", ",").alias("domains"), "contexts")
+    return n.select("key", "sources", "domains", "contexts")
 
 
 @query(f"WITH {KG}, {ADJ} SELECT src AS id, degree FROM deg")
@@ -566,7 +566,7 @@ def gap_hypotheses(spark: SparkSession, d: str) -> DataFrame:
 )
 def pair_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """Unlinked pairs by common neighbours."""
-    src = items(spark, d).groupBy(F.col("l_partkey").alias("key")).agg(F.collect_set("l_orderkey").alias("sources"))
+    src = cooccurrence.set_marks(items(spark, d), "l_partkey", "l_orderkey")
     p = cooccurrence.unlinked_pairs(part_pairs(spark, d).select("a", "b"), src)
     return p.withColumn("jaccard", F.round("jaccard", 6))
 
@@ -613,7 +613,9 @@ def referential_rejects(spark: SparkSession, d: str) -> DataFrame:
 def stored_sources(spark: SparkSession, d: str) -> DataFrame:
     c = concepts(spark, d).where(F.size(F.coalesce("source_papers", F.array().cast("array<string>"))) > 0)
     jp, en = text.strip(F.coalesce("jp_name", F.lit(""))), F.lower(text.strip(F.coalesce("en_name", F.lit(""))))
-    return c.groupBy(jp.alias("jp"), en.alias("en")).agg(F.min("id").alias("ord"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("source_papers")))).alias("sources"))
+    named = c.select(F.struct(jp.alias("jp"), en.alias("en")).alias("k"), "id", F.col("source_papers").alias("sources"))
+    first = named.groupBy("k").agg(F.min("id").alias("ord"))
+    return first.join(dedup.union_sets(named, "k", ("sources",)), "k").select("ord", "k.jp", "k.en", "sources")
 
 
 _STORED = f"""nm AS (SELECT id, trim(coalesce(jp_name, ''), ' ' || chr(9) || chr(160) || chr(12288)) AS jp, lower(trim(coalesce(en_name, ''), ' ' || chr(9) || chr(160) || chr(12288))) AS en, coalesce(source_papers, []) AS s FROM con),
