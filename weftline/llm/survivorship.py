@@ -68,13 +68,17 @@ def _fold(names: pd.Series) -> pd.Series:
     return names.map(one, na_action="ignore")
 
 
+#: So that a filter on the result is not pushed below it, where it would be computed a second time.
+_fold_once = _fold.asNondeterministic()
+
+
 def folded_name(c: Column) -> Column:
     """Equal for names that differ in letter case, width or spacing only; null if nothing is left.
 
     Names in ASCII, the most, stay in the JVM; only the others go through the Unicode tables in Python.
     """
     plain = c.rlike(r"^[\x00-\x7f]*$")
-    folded = F.when(plain, F.regexp_replace(F.lower(c), r"\s+", "")).otherwise(_fold(F.when(~plain, c)))
+    folded = F.when(plain, F.regexp_replace(F.lower(c), r"\s+", "")).otherwise(_fold_once(F.when(~plain, c)))
     return F.when(folded != "", folded)
 
 
