@@ -71,3 +71,16 @@ def test_other_dimensions(spark, dim):
     got = _found(_frame(spark, ids, v), dim=dim)
     expect = {x[:2] for x in knn.brute_force(ids, v, 3)}
     assert len(expect & set(got)) / len(expect) >= 0.9
+
+
+def test_exact_neighbours_and_recall(spark, small):
+    from weftline.llm import queries
+
+    r = queries.p5_recall(spark, small).first()
+    assert r.queries > 5 and r.neighbours == 3 * r.queries and r.recall >= 0.9
+    v = np.random.default_rng(5).standard_normal((60, 64)).astype(np.float32)
+    v[10:20] = v[0]
+    ids = [f"V{i:02d}" for i in range(60)]
+    rows = knn.usable_vectors(_frame(spark, ids, v), "id", "vec", 64)
+    got = {tuple(r) for r in knn.exact_neighbours(rows.repartition(3), rows, 3, 64, block=25).collect()}
+    assert got == knn.brute_force(ids, v, 3)

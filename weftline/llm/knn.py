@@ -155,11 +155,7 @@ def nearest_in_cell(ids_q, queries, ids, vectors, rotate, k) -> tuple[list, list
     r, c, s = Cell(vectors, rotate).search(queries, k)
     other = ids_q[r] != ids[c]
     r, c, s = r[other], c[other], np.round(s[other], 6)
-    order = np.lexsort((c, -s, r))
-    r, c, s = r[order], c[order], s[order]
-    start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, int)
-    rank = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
-    keep = rank < k
+    keep = _ranked(r, c, s, k)
     return ids_q[r[keep]], ids[c[keep]], s[keep]
 
 
@@ -316,6 +312,67 @@ def neighbour_pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b")).distinct()
 
 
+def _ranked(r: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best (similarity, then smaller c) of each r."""
+    order = np.lexsort((c, -s, r))
+    r = r[order]
+    start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, int)
+    rank = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
+    return order[rank < k]
+
+
+def exact_neighbours(rows: DataFrame, queries: DataFrame, k: int, dim: int, block: int = 4096) -> DataFrame:
+    """``(id, neighbour, similarity)`` of the queries against all rows by brute force, in blocks of queries."""
+    from weftline.llm.topn import top_n
+
+    spark = rows.sparkSession
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks)) == b).toArrow()
+        if not part.num_rows:
+            continue
+        names = np.array(part["id"].to_pylist(), dtype=object)
+        unit = _matrix(part["vec"], dim).astype(np.float64)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        shared = spark.sparkContext.broadcast((names, unit))
+
+        def work(batches, shared=shared):
+            names, q = shared.value
+            for batch in batches:
+                x = _matrix(batch.column("vec"), dim).astype(np.float64)
+                if not len(x):
+                    continue
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                ids = np.array(batch.column("id").to_pylist(), dtype=object)
+                order = np.argsort(ids, kind="stable")
+                ids, x = ids[order], x[order]
+                first = np.r_[True, (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(1)]
+                ids, x = ids[first], x[first]
+                for i in range(0, len(q), 256):
+                    s = np.round(q[i : i + 256] @ x.T, 6)
+                    most = min(k + 1, s.shape[1])  # one may be the query itself
+                    bar = -np.partition(-s, most - 1, axis=1)[:, most - 1]
+                    r, c = np.nonzero(s >= bar[:, None])
+                    other = names[r + i] != ids[c]
+                    r, c = r[other], c[other]
+                    keep = _ranked(r, c, s[r, c], k)
+                    r, c = r[keep], c[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[r + i], pa.string()), pa.array(ids[c], pa.string()), pa.array(s[r, c])], ["id", "neighbour", "similarity"])
+
+        one = rows.mapInArrow(work, "id string, neighbour string, similarity double").distinct()
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return spark.createDataFrame([], "id string, neighbour string, similarity double")
+    return top_n(out, "id", "similarity", "neighbour", k).select("id", "neighbour", "similarity")
+
+
+def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
+    """``(queries, neighbours, found, recall)`` of the exact neighbours that the index gives as well."""
+    hit = exact.select("id", "neighbour").join(found.select("id", "neighbour", F.lit(1).alias("h")), ["id", "neighbour"], "left")
+    return hit.agg(F.countDistinct("id").alias("queries"), F.count("*").alias("neighbours"), F.count("h").alias("found")).withColumn("recall", F.try_divide(F.col("found").cast("double"), F.col("neighbours")))
+
+
 def brute_force(ids: list[str], vectors: np.ndarray, k: int) -> set[tuple[str, str, float]]:
     """Reference answer for tests and recall, in blocks."""
     order = np.argsort(np.array(ids, dtype=object), kind="stable")

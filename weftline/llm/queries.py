@@ -62,6 +62,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.neighbour_pairs(p5_neighbours(spark, d)).select(F.col("a").alias("concept_a"), F.col("b").alias("concept_b"))
 
 
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the index: every concept whose number is divisible by 20, against all rows by brute force."""
+    rows = knn.usable_vectors(table(spark, d, "concept_vec").select(canonical_id("concept_id").alias("id"), "vec"), "id", "vec", 64)
+    number = F.regexp_extract("id", r"(\d+)$", 1).try_cast("long")
+    exact = knn.exact_neighbours(rows, rows.where(number % 20 == 0).dropDuplicates(["id"]), 3, 64)
+    return knn.recall(exact, p5_neighbours(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     groups = components.connected_components(components.merge_pairs(table(spark, d, "merge_candidates")))
     return groups.withColumnRenamed("id", "concept_id")
@@ -124,6 +132,7 @@ QUERIES = {
     "p3_repaired": p3_repaired,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
+    "p5_recall": p5_recall,
     "p7_found": p7_found,
     "p8_containers": p8_containers,
     "p8_containers_long": p8_containers_long,
