@@ -154,6 +154,33 @@ def test_similar_names_is_exact(spark, threshold):
     assert {(r.x, r.y) for r in got} == expect
 
 
+def test_duplicates_are_scored_by_record(spark):
+    kind = "id int, en_name string, jp_name string, definition string, concept_type string, country_tag string, four_axis array<string>"
+    rnd = random.Random(3)
+    rows = [(1, "credit score", None, "zzzz", "x", "US", None), (2, "Credit Score!", None, "rating of people", "policy", "CN", ["a", "b"]), (3, "credit scare", None, "rating of people", "policy", "CN", ["b", "a"]), (4, "credit scare", None, "Rating of people.", "policy", "CN", ["a", "b", "a"])]
+    rows += [(10 + i, rnd.choice(["trust", "trusty", "truth", None]), rnd.choice(["信用", "信用度", "", None]), rnd.choice([None, "", "!", "one text", "one test", "other words here"]), rnd.choice(["p", "q", None]), rnd.choice(["CN", None]), rnd.choice([None, [], ["a"], ["a", "b"]])) for i in range(80)]
+    df = spark.createDataFrame(rows, kind)
+    from weftline.functions.similarity import structural_similarity
+    from weftline.functions.text import string_similarity
+
+    # Brute force over all pairs of records.
+    a, b = df.select(*[F.col(c).alias(f"{c}_a") for c in df.columns]), df.select(*[F.col(c).alias(f"{c}_b") for c in df.columns])
+    axes = lambda e: F.coalesce(f"four_axis_{e}", F.array().cast("array<string>"))
+    name = F.greatest(string_similarity("en_name_a", "en_name_b"), string_similarity("jp_name_a", "jp_name_b"))
+    overall = 0.5 * name + 0.3 * string_similarity("definition_a", "definition_b") + 0.2 * structural_similarity(F.col("concept_type_a"), F.col("concept_type_b"), F.col("country_tag_a"), F.col("country_tag_b"), axes("a"), axes("b"))
+    expect = {(r.id_a, r.id_b): r.o for r in a.crossJoin(b).where("id_a < id_b").where((name >= 0.4) & (overall >= 0.6)).select("id_a", "id_b", F.round(overall, 6).alias("o")).collect()}
+    members = {}
+    for r in dedup.class_members(df).collect():
+        members.setdefault(r.class_id, []).append(r.id)
+    got = {}
+    for r in dedup.duplicate_candidates(df).collect():
+        assert (len(members[r.id_a]), len(members[r.id_b])) == (r.members_a, r.members_b)
+        for i, j in itertools.combinations(members[r.id_a], 2) if r.id_a == r.id_b else itertools.product(members[r.id_a], members[r.id_b]):
+            assert (min(i, j), max(i, j)) not in got
+            got[min(i, j), max(i, j)] = round(r.overall, 6)
+    assert got == pytest.approx(expect) and (2, 3) in got and (3, 4) in got and (1, 2) not in got
+
+
 def test_heuristics(spark):
     kind = "struct<jp_name:string,en_name:string,definition:string,concept_type:string,sources:int>"
     cases = [

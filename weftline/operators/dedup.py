@@ -2,7 +2,7 @@
 
 Pair joins never enumerate all pairs. Edit distance uses the pigeonhole principle: two strings within d edits share
 one of d + 1 segments of the shorter one at nearly the same place, so candidates come from an equi-join on segments
-and the result is exact. Copies of one name are one class; pairs are between classes.
+and the result is exact. Records equal in all that is compared are one class; pairs are between classes.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.similarity import similarity_tier, structural_similarity, tier_action
-from weftline.functions.text import normalize_text, string_similarity, strip
+from weftline.functions.text import normalize_text, strip
 from weftline.operators.ranking import top_in_group
 from weftline.session import cut_lineage
 
@@ -98,34 +98,71 @@ def similar_names(classes: DataFrame, threshold: float) -> DataFrame:
     return found.withColumn("similarity", sim).where(F.col("similarity") >= threshold - 1e-12)
 
 
+def _scored_fields(concepts: DataFrame) -> DataFrame:
+    """``(id, n1, n2, definition, concept_type, country_tag, four_axis)`` as the score sees them, of records with a name."""
+    definition = F.coalesce("definition", F.lit(""))
+    axes = F.array_sort(F.array_distinct(F.coalesce("four_axis", F.array().cast("array<string>"))))
+    return concepts.select(
+        "id", normalize_text(F.coalesce("en_name", F.lit(""))).alias("n1"), normalize_text(F.coalesce("jp_name", F.lit(""))).alias("n2"),
+        F.when(definition != "", normalize_text(definition)).alias("definition"), "concept_type", "country_tag", axes.alias("four_axis"),
+    ).where("n1 <> '' OR n2 <> ''")
+
+
+def record_classes(concepts: DataFrame) -> DataFrame:
+    """Records that no part of the score can tell apart as one row: all fields of the score, smallest id, members."""
+    return _scored_fields(concepts).groupBy("n1", "n2", "definition", "concept_type", "country_tag", "four_axis").agg(F.min("id").alias("id"), F.count("*").alias("members"))
+
+
+def class_members(concepts: DataFrame) -> DataFrame:
+    """``(id, class_id)``: the class of every record with a name, by the smallest id of the class."""
+    same = Window.partitionBy("n1", "n2", "definition", "concept_type", "country_tag", "four_axis")
+    return _scored_fields(concepts).select("id", F.min("id").over(same).alias("class_id"))
+
+
+def name_representatives(concepts: DataFrame) -> DataFrame:
+    """The record of the smallest id of each name alone, with the number of records of the name."""
+    fields = F.struct("definition", "concept_type", "country_tag", "four_axis")
+    return _scored_fields(concepts).groupBy("n1", "n2").agg(F.min("id").alias("id"), F.count("*").alias("members"), F.min_by(fields, "id").alias("f")).select("n1", "n2", "f.*", "id", "members")
+
+
 def duplicate_candidates(concepts: DataFrame, threshold: float = 0.6, name_least: float = 0.4) -> DataFrame:
     """Pairs of records that may be one: ``0.5 name + 0.3 definition + 0.2 structure`` of at least ``threshold``.
 
-    ``concepts``: id, en_name, jp_name, definition, concept_type, country_tag, four_axis. The name similarity is the
-    better one of the two names and must reach ``name_least``. Records of equal names are one class, represented by
-    the smallest id: pairs are between representatives, with the sizes of the classes.
+    ``concepts``: id (unique), en_name, jp_name, definition, concept_type, country_tag, four_axis. The name similarity
+    is the better one of the two names and must reach ``name_least``. Records equal in all of these are one class
+    (``class_members`` has its records), so a pair of classes stands for every pair of their records; a class of two or
+    more members is also paired with itself.
     """
-    named = concepts.withColumn("n1", normalize_text(F.coalesce("en_name", F.lit("")))).withColumn("n2", normalize_text(F.coalesce("jp_name", F.lit("")))).where("n1 <> '' OR n2 <> ''")
-    fields = F.struct("definition", "concept_type", "country_tag", F.coalesce("four_axis", F.array().cast("array<string>")).alias("four_axis"))
-    rep = named.groupBy("n1", "n2").agg(F.min("id").alias("id"), F.count("*").alias("members"), F.min_by(fields, "id").alias("f"))
+    return score_classes(record_classes(concepts), threshold, name_least)
+
+
+def score_classes(classes: DataFrame, threshold: float, name_least: float) -> DataFrame:
+    """Pairs of classes, as ``duplicate_candidates``. Near names are found once for each name, then met by its classes."""
+    named = classes.select("n1", "n2").distinct().withColumn("key", F.struct("n1", "n2"))
     pairs = None
     for n in ("n1", "n2"):
-        names = rep.where(F.col(n) != "").select(F.col(n).alias("norm"), "id")
+        names = named.where(F.col(n) != "").select(F.col(n).alias("norm"), "key")
         near = similar_names(names.select("norm").distinct(), name_least)
         equal = names.select(F.col("norm").alias("x"), F.col("norm").alias("y"), F.lit(1.0).alias("similarity")).distinct()
         both = near.unionByName(equal)
-        one = both.join(names.select(F.col("norm").alias("x"), F.col("id").alias("i")), "x").join(names.select(F.col("norm").alias("y"), F.col("id").alias("j")), "y").where("i <> j")
-        one = one.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"), "similarity")
+        one = both.join(names.select(F.col("norm").alias("x"), F.col("key").alias("i")), "x").join(names.select(F.col("norm").alias("y"), F.col("key").alias("j")), "y")
+        one = one.select(F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "similarity")
         pairs = one if pairs is None else pairs.unionByName(one)
-    best = pairs.groupBy("id_a", "id_b").agg(F.max("similarity").alias("name_similarity"))
-    a = rep.select(F.col("id").alias("id_a"), F.col("members").alias("members_a"), F.col("f").alias("a"))
-    b = rep.select(F.col("id").alias("id_b"), F.col("members").alias("members_b"), F.col("f").alias("b"))
-    d = string_similarity(F.col("a.definition"), F.col("b.definition"))
+    best = pairs.groupBy("p", "q").agg(F.max("similarity").alias("name_similarity"))
+    rows = classes.select(F.struct("n1", "n2").alias("key"), F.struct("id", "members", "definition", "concept_type", "country_tag", "four_axis").alias("f"))
+    met = best.join(rows.select(F.col("key").alias("p"), F.col("f").alias("a")), "p").join(rows.select(F.col("key").alias("q"), F.col("f").alias("b")), "q")
+    met = met.where((F.col("p") < F.col("q")) | (F.col("a.id") < F.col("b.id")) | (F.col("a").eqNullSafe(F.col("b")) & (F.col("a.members") > 1)))
+    x, y = F.col("a.definition"), F.col("b.definition")
+    short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
+    d = F.when(x.isNull() | y.isNull(), 0.0).when(x == y, 1.0).otherwise(1 - F.try_divide(F.levenshtein(x, y), long))
+    most = F.when(x.isNull() | y.isNull(), 0.0).when(x == y, 1.0).otherwise(F.try_divide(short, long))  # the lengths alone bound it
     s = structural_similarity(F.col("a.concept_type"), F.col("b.concept_type"), F.col("a.country_tag"), F.col("b.country_tag"), F.col("a.four_axis"), F.col("b.four_axis"))
-    out = best.join(a, "id_a").join(b, "id_b").withColumn("definition_similarity", d).withColumn("structural_similarity", s)
-    out = out.withColumn("overall", 0.5 * F.col("name_similarity") + 0.3 * F.col("definition_similarity") + 0.2 * F.col("structural_similarity")).where(F.col("overall") >= threshold)
+    score = lambda d: 0.5 * F.col("name_similarity") + 0.3 * d + 0.2 * s
+    met = met.where(score(most) >= threshold - 1e-9).where(score(d) >= threshold)
+    end = lambda e: F.struct(F.col(f"{e}.id").alias("id"), F.col(f"{e}.members").alias("members"))
+    out = met.select(F.least(end("a"), end("b")).alias("u"), F.greatest(end("a"), end("b")).alias("v"), "name_similarity", d.alias("definition_similarity"), s.alias("structural_similarity"), score(d).alias("overall"))
     tier = similarity_tier(F.col("overall"), 0.9, 0.8, threshold)
-    return out.select("id_a", "id_b", "members_a", "members_b", "name_similarity", "definition_similarity", "structural_similarity", "overall", tier.alias("confidence"), tier_action(tier).alias("action"))
+    return out.select(F.col("u.id").alias("id_a"), F.col("v.id").alias("id_b"), F.col("u.members").alias("members_a"), F.col("v.members").alias("members_b"), "name_similarity", "definition_similarity", "structural_similarity", "overall", tier.alias("confidence"), tier_action(tier).alias("action"))
 
 
 def cosine_search(vectors: DataFrame, queries: DataFrame, threshold: float, upper: float | None = None) -> DataFrame:

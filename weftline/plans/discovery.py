@@ -304,6 +304,12 @@ def levenshtein_dups(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _part_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts stand for concepts."""
+    p = table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("en_name"), F.lit(None).cast("string").alias("jp_name"), F.col("p_type").alias("definition"), F.col("p_type").alias("concept_type"), F.col("p_brand").alias("country_tag"), F.lit(None).cast("array<string>").alias("four_axis"))
+
+
 @query(
     "WITH rep AS (SELECT p_name AS name, min(p_partkey) AS id, count(*) AS m, arg_min(p_type, p_partkey) AS t, arg_min(p_brand, p_partkey) AS c FROM part GROUP BY 1), "
     "q AS (SELECT x.id AS i, y.id AS j, x.m AS mi, y.m AS mj, 1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name)) AS ns, 1 - levenshtein(lower(x.t), lower(y.t)) / greatest(length(x.t), length(y.t)) AS ds, "
@@ -311,10 +317,21 @@ def levenshtein_dups(spark: SparkSession, d: str) -> DataFrame:
     "SELECT i AS id_a, j AS id_b, mi AS members_a, mj AS members_b, round(0.5::DOUBLE * ns + 0.3::DOUBLE * ds + 0.2::DOUBLE * ss, 6) AS overall FROM q WHERE ns >= 0.4 - 1e-12 AND 0.5::DOUBLE * ns + 0.3::DOUBLE * ds + 0.2::DOUBLE * ss >= 0.6"
 )
 def duplicate_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Likely duplicates by names, definitions and structure; parts stand for concepts."""
-    p = table(spark, d, "part")
-    c = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("en_name"), F.lit(None).cast("string").alias("jp_name"), F.col("p_type").alias("definition"), F.col("p_type").alias("concept_type"), F.col("p_brand").alias("country_tag"), F.lit(None).cast("array<string>").alias("four_axis"))
-    return dedup.duplicate_candidates(c).select("id_a", "id_b", "members_a", "members_b", F.round("overall", 6).alias("overall"))
+    """Likely duplicates among the first records of each name, as its SQL has it; ``duplicate_records`` has all."""
+    return dedup.score_classes(dedup.name_representatives(_part_concepts(spark, d)), 0.6, 0.4).where("id_a <> id_b").select("id_a", "id_b", "members_a", "members_b", F.round("overall", 6).alias("overall"))
+
+
+@query(
+    "WITH rec AS (SELECT p_name AS name, lower(p_type) AS def, p_type AS t, p_brand AS c, min(p_partkey) AS id, count(*) AS m FROM part GROUP BY ALL), "
+    "nn AS (SELECT x.name AS a, y.name AS b, 1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name)) AS s FROM (SELECT DISTINCT name FROM rec) x, (SELECT DISTINCT name FROM rec) y), "
+    "dd AS (SELECT x.def AS a, y.def AS b, 1 - levenshtein(x.def, y.def) / greatest(length(x.def), length(y.def)) AS s FROM (SELECT DISTINCT def FROM rec) x, (SELECT DISTINCT def FROM rec) y), "
+    "q AS (SELECT x.id AS i, y.id AS j, x.m AS mi, y.m AS mj, nn.s AS ns, dd.s AS ds, CASE WHEN x.t = y.t THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN x.c = y.c THEN 0.2::DOUBLE ELSE 0 END AS ss "
+    "FROM rec x JOIN nn ON nn.a = x.name JOIN rec y ON y.name = nn.b JOIN dd ON dd.a = x.def AND dd.b = y.def WHERE x.id < y.id OR (x.id = y.id AND x.m > 1)) "
+    "SELECT i AS id_a, j AS id_b, mi AS members_a, mj AS members_b, round(0.5::DOUBLE * ns + 0.3::DOUBLE * ds + 0.2::DOUBLE * ss, 6) AS overall FROM q WHERE ns >= 0.4 - 1e-12 AND 0.5::DOUBLE * ns + 0.3::DOUBLE * ds + 0.2::DOUBLE * ss >= 0.6"
+)
+def duplicate_records(spark: SparkSession, d: str) -> DataFrame:
+    """Likely duplicates among all records, by names, definitions and structure."""
+    return dedup.duplicate_candidates(_part_concepts(spark, d)).select("id_a", "id_b", "members_a", "members_b", F.round("overall", 6).alias("overall"))
 
 
 _COS = "cs AS (SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)"
