@@ -133,6 +133,31 @@ def test_best_fit_takes_the_tightest():
     assert packing.best_fit([60, 50, 40], [0, 0, 0], [1, 1, 1], 100) == [0, 1, 0]
 
 
+def test_best_fit_looks_at_all_bins_for_another_source():
+    # 70 tight bins hold the source; a looser one is free of it.
+    assert packing.best_fit([60] * 70 + [50, 40], [0] * 72, [1] * 70 + [2, 1], 100)[-1] == 70
+    # So for many copies: 40 tight bins hold their source, 40 looser ones don't.
+    where = packing.best_fit([60] * 40 + [55] * 40 + [30] * 50, [0] * 80 + [1] * 50, [1] * 40 + [2] * 40 + [1] * 50, 100)
+    assert set(where[80:120]) == set(range(40, 80)) and set(where[120:]) < set(range(40))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_best_fit_step_by_step(seed):
+    rnd = random.Random(seed)
+    rows = [(rnd.randrange(0, 101), rnd.choice([None, *"abcdef"]), rnd.choice([None, *"stuvwx"])) for _ in range(300)]
+    rows += [(n, f"copy{n}", rnd.choice("stuvw")) for n in (5, 20, 45) for _ in range(60)]
+    rows.sort(key=lambda r: (-r[0], r[1] or ""))
+    sizes, dup, src = zip(*rows)
+    where = packing.best_fit(sizes, packing.conflict_masks(dup), packing.conflict_masks(src), 100)
+    room, held = {}, defaultdict(set)
+    for size, d, s, b in zip(sizes, dup, src, where):
+        fits = [x for x in room if room[x] >= size and not (d and ("d", d) in held[x])]
+        best = [x for x in fits if not (s and ("s", s) in held[x])] or fits
+        assert b in best and room[b] == min(room[x] for x in best) if fits else b not in room
+        room[b] = room.get(b, 100) - size
+        held[b] |= {("d", d), ("s", s)}
+
+
 def test_many_copies_of_one_text():
     sizes = [10] * 40_000
     where = packing.best_fit(sizes, [1] * 20_000 + [0] * 20_000, [2] * 40_000, 2048)

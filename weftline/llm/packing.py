@@ -4,12 +4,12 @@ Every text becomes an item of its token count; a text that alone exceeds a conta
 boundaries first. Items are spread by a hash over shards of about ``SHARD_TOKENS`` tokens, so that every shard is one
 bounded task whatever the skew of sources, and each shard is packed by best-fit in falling size:
 
-* open bins are ordered by residual: a bitmap of the residuals in use and a list of bins for each;
-* each bin carries a bitmap of the duplicate clusters and sources it holds. Copies of one text never share a
-  container; texts of one source share one only where a new container would have to be opened instead, since little
-  unused space comes first;
+* open bins are ordered by residual: a tree over the residuals has a bitmap of the bins at and below each node;
+* for each duplicate cluster and source there is a bitmap of the bins that hold it. Copies of one text never share a
+  container; texts of one source share one only where no open container with room is free of that source, since
+  little unused space comes first;
 * the successor search starts at the item's size and goes on to larger residuals until the tightest compatible bin
-  is found; only if there is none a bin is opened.
+  is found, first among those without the source, then among all; only if there is none a bin is opened.
 
 A shard leaves about one container partly filled, whatever the number of documents.
 
@@ -20,8 +20,8 @@ repeated ids are packed as separate items; an empty table gives an empty result;
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections import Counter, defaultdict
+from collections.abc import Collection, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +32,6 @@ from weftline.llm.tokens import DEFAULT_TOKENIZER, load
 from weftline.session import cut_lineage
 
 SHARD_TOKENS = 4_000_000
-TRIES = 64
 MANY = 32
 
 
@@ -79,51 +78,58 @@ def best_fit(sizes: Sequence[int], never: Sequence[int], rather_not: Sequence[in
     """Bin of each item, items taken in the given order; sizes are at most the capacity.
 
     ``never``: bitmaps of classes of which a bin holds one item at most; ``rather_not``: of classes that share a bin
-    only where none of the ``TRIES`` tightest bins is free of them. Items of one class and size that follow one
-    another, when they are many, are placed in one pass over the bins: a bin takes only one of them anyway.
+    only where no open bin with room is free of them. Items of one class and size that follow one another, when they
+    are many, are placed in one pass over the bins: a bin takes only one of them anyway.
     """
-    levels: list[list[int]] = [[] for _ in range(capacity + 1)]
-    used, held, where = 0, [], [0] * len(sizes)
-    hard = 0
-    for m in never:
-        hard |= m
-    shift = hard.bit_length()
-
-    def fitting(size: int):
-        """(level, place) of the open bins, tightest first."""
-        level, open_ = size, used >> size
-        while open_:
-            step = (open_ & -open_).bit_length() - 1
-            level += step
-            for j in range(len(levels[level]) - 1, -1, -1):
-                yield level, j
-            open_ >>= step + 1
-            level += 1
-
-    def take(size: int, mask: int, tries: int = 1 << 60) -> tuple[int, int]:
-        """The tightest compatible bin, taken out of its level, and the level."""
-        nonlocal used
-        for level, j in fitting(size):
-            b = levels[level][j]
-            if not held[b] & mask:
-                levels[level].pop(j)
-                if not levels[level]:
-                    used &= ~(1 << level)
-                return b, level
-            tries -= 1
-            if not tries:
-                break
-        return -1, capacity
-
-    def put(i: int, b: int, level: int, mask: int) -> None:
-        nonlocal used
-        if b < 0:
-            b = len(held)
-            held.append(0)
-        held[b] |= mask
-        levels[level - sizes[i]].append(b)
-        used |= 1 << (level - sizes[i])
-        where[i] = b
+    leaves = 1 << capacity.bit_length()
+    tree = [0] * (2 * leaves)  # bitmaps of bins: a leaf has those of one residual, a node those of all leaves below
+    holders: dict[tuple[bool, int], int] = defaultdict(int)  # bins that hold an item of a class
+    classes: dict[tuple[bool, int], list[tuple[bool, int]]] = {}
+    bins, where = 0, [0] * len(sizes)
+
+    def keys(hard: bool, mask: int) -> list[tuple[bool, int]]:
+        if (hard, mask) not in classes:
+            classes[hard, mask] = [(hard, n) for n in _ones(mask)]
+        return classes[hard, mask]
+
+    def without(must: int, soft: int = 0) -> int:
+        """Bitmap of the bins that hold no class of the masks."""
+        out = 0
+        for c in keys(True, must) + keys(False, soft):
+            out |= holders[c]
+        return ~out
+
+    def tightest(level: int, allowed: int) -> int:
+        """The lowest residual from ``level`` on that an allowed bin has, or -1."""
+        n = level + leaves
+        while not tree[n] & allowed:
+            while n & 1:
+                n >>= 1
+            if not n:
+                return -1
+            n += 1
+        while n < leaves:
+            n <<= 1
+            if not tree[n] & allowed:
+                n += 1
+        return n - leaves
+
+    def fitting(size: int, allowed: int):
+        """(level, bin) of the allowed bins, tightest first."""
+        level = tightest(size, allowed)
+        while level >= 0:
+            for b in reversed(_ones(tree[level + leaves] & allowed)):
+                yield level, b
+            level = tightest(level + 1, allowed)
+
+    def move(level: int, to: int, some: int) -> None:
+        """Bins, as a bitmap, to another residual; a level of -1 is for new ones."""
+        x, y = level + leaves if level >= 0 else 0, to + leaves
+        while x != y:
+            if x:
+                tree[x] ^= some
+            tree[y] ^= some
+            x, y = x >> 1, y >> 1
 
     i = 0
     while i < len(sizes):
@@ -132,26 +138,59 @@ def best_fit(sizes: Sequence[int], never: Sequence[int], rather_not: Sequence[in
         while must and end < len(sizes) and never[end] == must and sizes[end] == size:
             end += 1
         if end - i > MANY:
-            free = [(level, levels[level][j]) for level, j in fitting(size) if not held[levels[level][j]] & must][: end - i]
-            gone = {b for _, b in free}
-            for level in {level for level, _ in free}:
-                levels[level] = [b for b in levels[level] if b not in gone]
-                if not levels[level]:
-                    used &= ~(1 << level)
+            found, taken, moved, held = {}, set(), defaultdict(list), defaultdict(list)
             for k in range(i, end):
-                level, b = free[k - i] if k - i < len(free) else (capacity, -1)
-                put(k, b, level, must | rather_not[k] << shift)
+                level, b = -1, -1
+                for soft in dict.fromkeys((rather_not[k], 0)):
+                    if soft not in found:
+                        found[soft] = fitting(size, without(must, soft))
+                    level, b = next((x for x in found[soft] if x[1] not in taken), (-1, -1))
+                    if b >= 0:
+                        break
+                if b < 0:
+                    b, bins = bins, bins + 1
+                taken.add(b)
+                moved[level].append(b)
+                held[rather_not[k]].append(b)
+                where[k] = b
+            for level, some in moved.items():
+                move(level, (level if level >= 0 else capacity) - size, _bitmap(some))
+            for c in keys(True, must):
+                holders[c] |= _bitmap(taken)
+            for soft, some in held.items():
+                for c in keys(False, soft):
+                    holders[c] |= _bitmap(some)
         else:
             for k in range(i, end):
-                mask = must | rather_not[k] << shift
-                b, level = take(size, mask, TRIES) if rather_not[k] else (-1, capacity)
-                if b < 0:
-                    b, level = take(size, must)
-                put(k, b, level, mask)
+                allowed = without(must, rather_not[k])
+                level = tightest(size, allowed)
+                if level < 0 and rather_not[k]:
+                    allowed = without(must)
+                    level = tightest(size, allowed)
+                if level < 0:
+                    b, bins = bins, bins + 1
+                else:
+                    b = (tree[level + leaves] & allowed).bit_length() - 1
+                move(level, (level if level >= 0 else capacity) - size, 1 << b)
+                for c in keys(True, must) + keys(False, rather_not[k]):
+                    holders[c] |= 1 << b
+                where[k] = b
         i = end
     return where
 
 
+def _ones(mask: int) -> list[int]:
+    """Places of the bits that are set."""
+    return [n for n, c in enumerate(bin(mask)[:1:-1]) if c == "1"]
+
+
+def _bitmap(places: Collection[int]) -> int:
+    out = bytearray(max(places) // 8 + 1)
+    for n in places:
+        out[n >> 3] |= 1 << (n & 7)
+    return int.from_bytes(out, "little")
+
+
 def pack(item_rows: DataFrame, capacity: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """``(container_id, id, piece, start, end, tokens)`` for every item."""
     kind = dict(item_rows.dtypes)["id"]
