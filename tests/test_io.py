@@ -73,6 +73,22 @@ def test_reports(spark, small):
     assert ranking.diversity(discovery.scored_part_gaps(spark, small)).first().gaps > 0
 
 
+def test_reports_list_all(spark, tmp_path):
+    n = reports.SHOWN + 500
+    con = spark.range(n).select(F.format_string("C%05d", "id").alias("id"), F.lit("x").alias("name"), F.lit("JP").alias("country_tag"), F.lit("").alias("recommendation"), F.lit(0.5).alias("score"))
+    text = reports.transfer_report(con)
+    assert all(f"| C{i:05d} |" in text for i in range(n))
+    text = reports.transfer_report(con, home_path=str(tmp_path / "jp"))
+    assert f"{n} rows" in text and spark.read.json(str(tmp_path / "jp")).select("id").distinct().count() == n
+    priority = F.when(F.col("id") < n, "high").when(F.col("id") < n + 30, "medium").otherwise("low")
+    hyp = spark.range(n + 70).select(priority.alias("priority"), (1 / (F.col("id") + 1)).alias("score"), F.format_string("h%05d", "id").alias("statement"), *[F.col("id").alias(c) for c in "abc"], *[F.lit("t").alias(c) for c in ("hypothesis_type", "axes", "rq")])
+    text = reports.hypothesis_report(hyp)
+    assert f"| high | {n} |" in text and "| medium | 30 |" in text and "| low | 40 |" in text
+    assert [line.split()[-1] for line in text.split("\n") if line.startswith("###")] == [f"h{i:05d}" for i in range(n + 5)]
+    text = reports.hypothesis_report(hyp, high_path=str(tmp_path / "high"))
+    assert f"{n} rows" in text and spark.read.json(str(tmp_path / "high")).count() == n and f"### {n + 1}. h{n:05d}" in text
+
+
 def test_streams(spark, small, tmp_path):
     src = tmp_path / "in"
     spark.read.parquet(f"{small}/events.parquet").repartition(2).write.parquet(str(src))

@@ -1,4 +1,8 @@
-"""Markdown reports. Rows are chosen and counted in Spark; only the few lines shown reach the driver."""
+"""Markdown reports. Rows are chosen and counted in Spark; only the lines shown reach the driver.
+
+A list that a report gives in full has no bound: it is in the text, or, where a path is given, written there as JSON
+lines by Spark and only named and counted in the text.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.rules import AXES, TIERS
 from weftline.operators.ranking import top_in_group
+from weftline.sources.writers import write_jsonl
 
 SHOWN = 2_000
 
@@ -15,6 +20,11 @@ def _rows(df: DataFrame):
     return df.take(SHOWN)
 
 
+def _written(df: DataFrame, path: str) -> str:
+    write_jsonl(df, path)
+    return f"{df.sparkSession.read.text(path).count()} rows: {path}"
+
+
 def table(headers: list[str], rows) -> str:
     return "\n".join(["| " + " | ".join(headers) + " |", "|" + "---|" * len(headers), *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
 
@@ -42,27 +52,39 @@ def impact_report(labelled: DataFrame, k: int = 5) -> str:
     return "\n\n".join(out)
 
 
-def transfer_report(rows: DataFrame, k: int = 10) -> str:
-    """Recommendations and the first concepts of each. ``rows``: id, name, country_tag, recommendation, score."""
+def transfer_report(rows: DataFrame, k: int = 10, home_path: str | None = None) -> str:
+    """Recommendations, the first concepts of each, and all of Japan. ``rows``: id, name, country_tag, recommendation, score.
+
+    ``home_path``: where the concepts of Japan are written, if not into the text.
+    """
     tier = F.when(F.col("recommendation").isin(*TIERS), F.col("recommendation")).otherwise(TIERS[1])
     rows = rows.withColumn("recommendation", tier)
     counts = {r.recommendation: r.n for r in rows.groupBy("recommendation").agg(F.count("*").alias("n")).collect()}  # three tiers
     first = _rows(top_in_group(rows, "recommendation", [F.col("score").desc(), F.col("id")], k))
-    home = _rows(rows.where("country_tag = 'JP'").orderBy("id").select("id", "name", "recommendation").limit(SHOWN))
-    out = ["# RQ3", table(["recommendation", "concepts"], [(t, counts.get(t, 0)) for t in TIERS]), "## JP\n" + table(["id", "name", "recommendation"], home)]
+    home = rows.where("country_tag = 'JP'").orderBy("id").select("id", "name", "recommendation")
+    listed = table(["id", "name", "recommendation"], home.toLocalIterator()) if home_path is None else _written(home, home_path)
+    out = ["# RQ3", table(["recommendation", "concepts"], [(t, counts.get(t, 0)) for t in TIERS]), "## JP\n" + listed]
     for t in TIERS:
         out.append(f"## {t}\n" + "\n".join(f"- {r['name']} ({r['score']:.2f})" for r in sorted((r for r in first if r.recommendation == t), key=lambda r: r["rank"])))
     return "\n\n".join(out)
 
 
-def hypothesis_report(hypotheses: DataFrame, medium: int = 5) -> str:
-    """All hypotheses of high priority, the first of medium, and counts."""
-    rows = _rows(hypotheses.orderBy(F.col("score").desc(), "a", "b", "c"))
-    high = [r for r in rows if r.priority == "high"]
-    mid = [r for r in rows if r.priority == "medium"][:medium]
+def hypothesis_report(hypotheses: DataFrame, medium: int = 5, high_path: str | None = None) -> str:
+    """All hypotheses of high priority, the first of medium, and counts.
+
+    ``high_path``: where those of high priority are written, if not into the text.
+    """
+    counts = {r.priority: r.n for r in hypotheses.where(F.col("priority").isin("high", "medium", "low")).groupBy("priority").agg(F.count("*").alias("n")).collect()}
+    order = [F.col("score").desc(), "a", "b", "c"]
+    high = hypotheses.where("priority = 'high'").orderBy(*order)
+    mid = hypotheses.where("priority = 'medium'").orderBy(*order).limit(medium).collect()
     block = lambda n, r: f"### {n}. {r['statement']}\n- {r['hypothesis_type']} {r['axes']}\n- {r['rq']}\n- score {r['score']}"
-    parts = ["# Hypotheses", table(["priority", "n"], [(p, sum(r.priority == p for r in rows)) for p in ("high", "medium", "low")])]
-    parts += [block(n, r) for n, r in enumerate([*high, *mid], 1)]
+    parts = ["# Hypotheses", table(["priority", "n"], [(p, counts.get(p, 0)) for p in ("high", "medium", "low")])]
+    if high_path is None:
+        parts += [block(n, r) for n, r in enumerate(high.toLocalIterator(), 1)]
+    else:
+        parts.append("## High\n" + _written(high, high_path))
+    parts += [block(n, r) for n, r in enumerate(mid, counts.get("high", 0) + 1)]
     return "\n\n".join(parts)
 
 
