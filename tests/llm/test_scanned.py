@@ -83,6 +83,20 @@ def test_found_in_made_up_scans(spark):
     assert joined.count("ä") < 0.3 * sum(r[2].count("ä") for r in rows)
 
 
+def test_contexts_rule_out_rare_words(spark):
+    """Real rare words a glyph edit, or several, from a frequent word of another topic stay; misreadings don't."""
+    rnd = random.Random(8)
+    paper, land = [["the", "form", "protection", "paper", "office", "clerk", "stamp", "desk"], ["cattle", "wheat", "barn", "plough", "soil", "crop", "sheep", "hay"]]
+    sentences = [" ".join(rnd.choice(topic) for _ in range(12)) for topic in (paper, land) for _ in range(900)]
+    sentences += ["cattle wheat farm barn sheep", "soil crop farm hay plough", "cattle wheat pretectien barn sheep", "soil crop pretectien hay plough"]
+    sentences += ["office paper forrn clerk stamp", "office paper pretecticn clerk stamp"]
+    rnd.shuffle(sentences)
+    chunks = spark.createDataFrame([("s", i, "\n".join(sentences[i * 100 : i * 100 + 100])) for i in range(19)], "source_id string, chunk_index int, text string")
+    model = scanned.learn(chunks)
+    got = {w: model.correct(w) for w in ("farm", "pretectien", "forrn", "pretecticn")}
+    assert got == {"farm": None, "pretectien": None, "forrn": "form", "pretecticn": "protection"}
+
+
 def test_clean_text_has_no_noise(spark):
     rows = [("s", i, "A plain sentence about registers.\nAnother line without any noise in it.\n2013\n", 0) for i in range(6)]
     chunks = spark.createDataFrame(rows, SCHEMA)

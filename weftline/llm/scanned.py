@@ -9,7 +9,8 @@
    the same way: a glyph pair is plausible by the list below or if it stands out in several contexts.
 4. *Lines*: page numbers are lines that form a rising sequence of one format; headers are lines without sentence end
    that recur at page edges, within the source or across sources, or are nearly such a line; a word at a line's end
-   is divided if the parts joined make a word or no known compound; then each remaining word is looked up, in context.
+   is divided if the parts joined make a word or no known compound; then each remaining word is looked up; its contexts, of
+   all its places together, were weighed in step 3 and may rule a frequent word out.
 5. *Repair*: misreadings replaced, divided words joined, furniture dropped, lines reflowed into paragraphs.
 
 What is broadcast is bounded: words and trigrams above a share of all occurrences, links that lead to such words.
@@ -333,6 +334,7 @@ class Model:
         self.words: dict[str, int] = {}
         self.inner: dict[str, int] = {}
         self.links: dict[str, str] = {}
+        self.vetoed: dict[str, frozenset[str]] = {}  # frequent words that the contexts of a rare one speak against
         self.titles: set[str] = set()
         self.captions: set[str] = set()  # lines that are next to page numbers only by chance
         self.partners: dict[str, tuple[str, ...]] = {}
@@ -408,13 +410,14 @@ class Model:
 
     def _link(self, word: str) -> str | None:
         """The most frequent word one edit away, or more from a long word, that is far above the rare ones."""
-        if self.near is not None and word.isascii() and word.isalpha():
+        veto = self.vetoed.get(word, frozenset())
+        if self.near is not None and not veto and word.isascii() and word.isalpha():
             best = self.near.get(word)
         else:
-            best = max(self.strong.intersection(plausible(word)), key=self.words.get, default=None)
+            best = max(self.strong.intersection(plausible(word)) - veto, key=self.words.get, default=None)
         if best is None and len(word) > 6 and self._least(word) < self.floor:  # else it reads like a name
             best = self.outlines.get(outline(word))
-        return best
+        return None if best in veto else best
 
     def _least(self, word: str) -> int:
         p = f"^{word}$"
@@ -482,6 +485,7 @@ def _learn(texts: DataFrame, stats: DataFrame) -> Model:
     lines = {k: i for i, k in enumerate(sorted(beside))}
 
     strong = {w: n for w, n in m.words.items() if n >= RATIO * 2}
+    outlines = {outline(w): w for w in sorted(m.words, key=m.words.get) if m.words[w] >= RATIO * floor}
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -492,11 +496,15 @@ def _learn(texts: DataFrame, stats: DataFrame) -> Model:
                 for f in {c for c in plausible(w) if strong.get(c, 0) >= RATIO * n}:
                     if len(w) > 2 or not w.isalpha():
                         out.append((w, n, f))
+                if n < floor and len(w) < 3 and w.isalpha():
+                    out += [(w, n, f) for f in {c for c in plausible(w) if strong.get(c, 0) >= RATIO * floor}]
+                if n < floor and len(w) > 6 and (f := outlines.get(outline(w))) and f not in {*plausible(w)}:
+                    out.append((w, n, f))
             cols = list(zip(*out)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["w", "n", "f"])
 
     candidates = defaultdict(list)
-    for r in word_rows.mapInArrow(link, "w string, n long, f string").collect():  # each is one edit from a strong word
+    for r in word_rows.mapInArrow(link, "w string, n long, f string").collect():  # each is one edit from a strong word, or has its outline
         candidates[r.w].append(r.f)
 
     glyphs = _glyph_pairs(stats, total_grams, m)
@@ -527,15 +535,20 @@ def _learn(texts: DataFrame, stats: DataFrame) -> Model:
         middle = w.mean(0)
     for word, targets in candidates.items():
         i = rare[word]
-        scored = []
+        scored, against = [], set()
+        edits = {*plausible(word)} if len(word) > 2 or not word.isalpha() else set()  # other targets are left to the look-up
         for t in targets:
             k = units.get(t)
             # How much better the contexts of the rare word fit the frequent one than a word in general.
             fit = float((w[k] - middle) @ around[i]) if k is not None and seen[i] else 0.0
-            scored.append((fit, m.words[t], t))
-        fit, _, target = max(scored)
-        if fit > -1.0 or not word.isalpha():
-            m.links[word] = target
+            if fit <= -1.0 and word.isalpha():
+                against.add(t)
+            elif t in edits:
+                scored.append((fit, m.words[t], t))
+        if scored:
+            m.links[word] = max(scored)[2]
+        elif against:
+            m.vetoed[word] = frozenset(against)
     for word in list(m.links):
         m.links[word] = m.links.get(m.links[word], m.links[word])
     m.partners, m.strange, m.grams = glyphs
