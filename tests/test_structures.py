@@ -154,6 +154,17 @@ def test_similar_names_is_exact(spark, threshold):
     assert {(r.x, r.y) for r in got} == expect
 
 
+def test_similar_names_of_concepts(spark, small):
+    from weftline.plans import discovery, registry
+
+    n = discovery.concepts(spark, small).select(normalize_text(F.coalesce("en_name", F.lit(""))).alias("n")).where("n <> ''").groupBy("n").agg(F.count("*").alias("m")).collect()
+    a, b = spark.createDataFrame(n).toDF("x", "members_x"), spark.createDataFrame(n).toDF("y", "members_y")
+    s = 1 - F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y"))
+    expect = {tuple(r) for r in a.crossJoin(b).where("x < y").where(s >= 0.6 - 1e-12).select("x", "y", F.round(s, 6), "members_x", "members_y").collect()}
+    got = registry.queries()["concept_name_dups"](spark, small).collect()
+    assert len(got) == len(expect) > 0 and {tuple(r) for r in got} == expect
+
+
 def test_duplicates_are_scored_by_record(spark):
     kind = "id int, en_name string, jp_name string, definition string, concept_type string, country_tag string, four_axis array<string>"
     rnd = random.Random(3)

@@ -295,7 +295,10 @@ def assign_ids(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH n AS (SELECT p_name AS name, count(*) AS m FROM part GROUP BY 1) SELECT x.name AS x, y.name AS y, round(1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name)), 6) AS similarity, x.m AS members_x, y.m AS members_y FROM n x JOIN n y ON x.name < y.name WHERE 1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name)) >= 0.6 - 1e-12")
 def levenshtein_dups(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of similar names between classes of equal names, with the sizes of the classes."""
-    classes = dedup.name_classes(table(spark, d, "part"), "p_partkey", "p_name")
+    return _name_dups(dedup.name_classes(table(spark, d, "part"), "p_partkey", "p_name"))
+
+
+def _name_dups(classes: DataFrame) -> DataFrame:
     pairs = dedup.similar_names(classes, 0.6)
     m = classes.select("norm", "members")
     return (
@@ -304,6 +307,12 @@ def levenshtein_dups(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query()
+def concept_name_dups(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of similar English names of live concepts, as ``levenshtein_dups``; no SQL, whose distance counts bytes."""
+    return _name_dups(dedup.name_classes(concepts(spark, d), "id", "en_name"))
+
+
 def _part_concepts(spark: SparkSession, d: str) -> DataFrame:
     """Parts stand for concepts."""
     p = table(spark, d, "part")
