@@ -83,18 +83,101 @@ def test_found_in_made_up_scans(spark):
     assert joined.count("ä") < 0.3 * sum(r[2].count("ä") for r in rows)
 
 
-def test_contexts_rule_out_rare_words(spark):
-    """Real rare words a glyph edit, or several, from a frequent word of another topic stay; misreadings don't."""
-    rnd = random.Random(8)
+def _topics(seed):
+    rnd = random.Random(seed)
     paper, land = [["the", "form", "protection", "paper", "office", "clerk", "stamp", "desk"], ["cattle", "wheat", "barn", "plough", "soil", "crop", "sheep", "hay"]]
-    sentences = [" ".join(rnd.choice(topic) for _ in range(12)) for topic in (paper, land) for _ in range(900)]
-    sentences += ["cattle wheat farm barn sheep", "soil crop farm hay plough", "cattle wheat pretectien barn sheep", "soil crop pretectien hay plough"]
-    sentences += ["office paper forrn clerk stamp", "office paper pretecticn clerk stamp"]
-    rnd.shuffle(sentences)
-    chunks = spark.createDataFrame([("s", i, "\n".join(sentences[i * 100 : i * 100 + 100])) for i in range(19)], "source_id string, chunk_index int, text string")
+    lines = [" ".join(rnd.choice(topic) for _ in range(12)) for topic in (paper, land) for _ in range(900)]
+    return rnd, lines
+
+
+def _chunks(spark, lines, size=100):
+    return spark.createDataFrame([("s", i, "\n".join(lines[i * size : i * size + size])) for i in range(-(-len(lines) // size))], "source_id string, chunk_index int, text string")
+
+
+def _misread(spark, lines, model, chunks):
+    return {lines[r.chunk_index * 100 + r.line_no - 1] for r in scanned.noise(chunks, model).collect() if r.kind == "misread"}
+
+
+def test_the_context_of_a_place_decides(spark):
+    """One word is real in one place and a misreading in another; without vectors all rows come out."""
+    rnd, lines = _topics(8)
+    real = ["cattle wheat farm barn sheep", "soil crop farm hay plough", "cattle wheat pretectien barn sheep"]
+    wrong = ["office paper farm clerk stamp", "office paper forrn clerk stamp", "office paper pretecticn clerk stamp"]
+    lines += real + wrong
+    rnd.shuffle(lines)
+    chunks = _chunks(spark, lines)
+    model = scanned.learn(chunks)
+    assert _misread(spark, lines, model, chunks) == set(wrong)
+    text = " ".join(r.text for r in scanned.repaired(chunks, model).collect())
+    assert text.count("office paper form clerk stamp") >= 2 and text.count("farm") == 2 and text.count("pretectien") == 1
+    model.word_vectors.near[:] = 0
+    assert _misread(spark, lines, model, chunks) == {*real, *wrong}
+
+
+def test_pairs_of_characters_are_learned(spark, monkeypatch):
+    """Rare ones without a list; a listed pair of frequent ones is told apart place by place; a real rare character stays."""
+    monkeypatch.setattr(scanned, "LOOKALIKES", ("信行",))
+    rnd = random.Random(4)
+    words = ["申請手続", "行政機関", "行政機関", "信用評価", *["".join(chr(0x5100 + 4 * i + k) for k in range(4)) for i in range(40)]]
+    lines = ["".join(rnd.choice(words) for _ in range(6)) for _ in range(6000)]
+    truth = set()
+    for i in range(0, 3000, 12):
+        seen, written = (("甲", "申"), ("坪", "評"), ("信", "行"))[i // 12 % 3]
+        if written in lines[i]:
+            k = lines[i].index(written)
+            lines[i] = lines[i][:k] + seen + lines[i][k + 1 :]
+            truth.add(lines[i])
+    rare = [lines[i][:8] + "玻璃" + lines[i][8:] for i in range(3700, 3760, 3)]
+    lines[3700:3760:3] = rare
+    chunks = _chunks(spark, lines)
+    model = scanned.learn(chunks)
+    assert model.partners == {"甲": ("申",), "坪": ("評",), "信": ("行",)}
+    assert _misread(spark, lines, model, chunks) == truth
+    fixed = "".join(r.text for r in scanned.repaired(chunks, model).collect())
+    assert "甲" not in fixed and "坪" not in fixed and "信政" not in fixed and fixed.count("玻璃") == len(rare)
+    model.char_vectors.near[:] = 0
+    assert len(_misread(spark, lines, model, chunks)) < len(truth)  # the counts alone don't tell
+
+
+def test_links_agree_with_the_edits(spark):
+    """The table of edits turned round gives what trying all edits gives."""
+    m = scanned.Model()
+    m.floor = 1
+    m.words = {w: 100 + len(w) for w in ("form", "burn", "minimum", "clerk", "will", "hall", "vow", "little", "credit", "modern", "winning")}
+    m.finish()
+    rnd = random.Random(1)
+    for w in sorted(m.strong):
+        for _ in range(200):
+            seen, written = rnd.choice(scanned.GLYPHS)
+            x = w.replace(written, seen, 1)
+            if x != w and x.isalpha() and len(x) > 1 and x not in m.words:
+                assert set(m.links(x)) == m.strong.keys() & set(scanned.plausible(x)), x
+
+
+@pytest.mark.parametrize(("block", "every"), [(20, 0), (24, 30), (24, 700)])
+def test_blocks_make_no_difference(spark, block, every):
+    """A long source cut into blocks gives the rows and paragraphs of the whole, however long these are."""
+    text = _clean_lines("/root/testdata/sf0.01", "en")[:160_000]
+    lines, _ = _noisy(text, 60, 3, "A Running Title of Things", (("c", "e"), ("rn", "m")))
+    if every:
+        lines = [x + "\n\n" if i % every == every - 1 else x for i, x in enumerate(lines)]
+    rows = [("long", c // 40, "\n".join(lines[c : c + 40]), 1) for c in range(0, len(lines), 40)]
+    chunks = spark.createDataFrame(rows, SCHEMA)
+    assert len(rows) > 2.5 * block
     model = scanned.learn(chunks)
-    got = {w: model.correct(w) for w in ("farm", "pretectien", "forrn", "pretecticn")}
-    assert got == {"farm": None, "pretectien": None, "forrn": "form", "pretecticn": "protection"}
+    whole = {tuple(r) for r in scanned.noise(chunks, model).collect()}
+    assert {tuple(r) for r in scanned.noise(chunks, model, block=block).collect()} == whole
+
+    def joined(**kw):
+        out = []
+        for r in sorted(scanned.repaired(chunks, model, **kw).collect(), key=lambda r: (r.block, r.paragraph)):
+            if r.continued:
+                out[-1] += " " + r.text
+            else:
+                out.append(r.text)
+        return out
+
+    assert joined(block=block) == joined()
 
 
 def test_clean_text_has_no_noise(spark):

@@ -2,19 +2,26 @@
 
 1. *Statistics* over all chunks: counts of words, of character trigrams inside words (Latin script) and of character
    trigrams of running text (Han and Kana), and of the lines next to page numbers.
-2. *Skip-gram vectors* of the frequent words and characters, trained with negative sampling on the counts of all
-   pairs within a window, and the contexts of the rare words that are a plausible glyph edit away from a frequent one.
-3. *Links*: a word is a misreading of a frequent word if one plausible glyph edit leads there, it is at least
-   ``RATIO`` times rarer, and its contexts fit the vector of the frequent word. Characters of running text are linked
-   the same way: a glyph pair is plausible by the list below or if it stands out in several contexts.
+2. *Skip-gram vectors*, trained with negative sampling on the counts of all pairs within a window, of every word and
+   character above a share of all (so their number is bounded, whatever the text); each place of the window has
+   context vectors of its own.
+3. *Links*: a rare word may be a misreading of any frequent one, at least ``RATIO`` times more frequent, that one
+   plausible glyph edit leads to (several in a long word). A character may be a misreading of a frequent one that it
+   looks like, by the list below, or that the characters beside it call for at most of its places (learned from the
+   vectors, by a pass over the trigrams).
 4. *Lines*: page numbers are lines that form a rising sequence of one format; headers are lines without sentence end
    that recur at page edges, within the source or across sources, or are nearly such a line; a word at a line's end
-   is divided if the parts joined make a word or no known compound; then each remaining word is looked up; its contexts, of
-   all its places together, were weighed in step 3 and may rule a frequent word out.
+   is divided if the parts joined make a word or no known compound. Then every occurrence of a word or character that
+   has a link is judged in its own context: the vectors of the words around it say how much better each linked one
+   fits than the one that is seen (a rare word fits as any), which together with the counts gives the odds.
 5. *Repair*: misreadings replaced, divided words joined, furniture dropped, lines reflowed into paragraphs.
 
-What is broadcast is bounded: words and trigrams above a share of all occurrences, links that lead to such words.
-A source is handled in blocks of ``BLOCK`` chunks with one chunk of surroundings, so none is too large for a task.
+Beside the vectors only what has no context is decided by itself: joined-letter glyphs, digits in numbers, and names
+that hold something that is no letter, by the trigrams inside words.
+
+What is broadcast is bounded: words, trigrams and lines above a share of all occurrences; links are found where a word
+is met. A source of more than ``BLOCK`` chunks is handled in blocks with ``HALO`` chunks of surroundings on either side,
+so none is too large for a task: page numbers, titles, divided words and paragraphs go on over the seam.
 
 Edge cases: null texts and sources take no part; repeated rows give one result; empty and blank lines have no kind;
 text without any noise gives no rows; line numbers count ``\\n`` only; extra columns are ignored; an empty table gives
@@ -35,15 +42,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 64
+BLOCK = 1024
+HALO = 8
 RATIO = 25
 WORD_SHARE = 4e-6  # of all words: at most 250,000 words are broadcast
-GRAM_SHARE = 2e-7  # of all trigrams of running text
+UNIT_SHARE = 1e-4  # of all characters: at most 10,000 have vectors, as have words (RATIO * WORD_SHARE)
 EDGE_SHARE = 1e-5  # of all lines next to page numbers
-PAIR_SHARE = 1e-6  # of all trigrams: what a glyph pair that is not listed must make up
-VECTOR_WORDS = 1024
-NEAR_WORDS = 5_000
+PAIR_SHARE = 1e-7  # of all pairs within the window: at most ten million reach the driver
+RARE_SHARE = 1e-6  # of all characters: rarer ones are not learned to be misreadings
 WINDOW = 2
+PLACES = 2 * WINDOW
+DIM = 24
+NEGATIVE = 5.0
+PLACE_MOST = 6.0  # what one place of a context counts at most, for or against
+WORD_DOUBT = 0.0  # how far the odds may be against a misread word
+CHARACTER_GAIN = 1.0  # log odds that a misread character needs
+LEARNED_FIT = 5.0  # log odds by the characters beside it, of a place that counts for a pair
+LEARNED_MOST = 0.6  # share of the places of a rare character that must count for a pair
+LEARNED_PLACES = 4  # different ones
 HYPHENS = "-­¬‐‑"
 
 #: Glyph confusions in print, seen -> written, in lower case.
@@ -226,22 +242,33 @@ def _count_grams(texts: list[np.ndarray]) -> Iterator[tuple[str, int]]:
 # ---------------------------------------------------------------- vectors
 
 
-def train(pairs: np.ndarray, dim: int = 24, rounds: int = 40, negative: float = 5.0, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Skip-gram vectors with negative sampling from the pair counts: the expected gradient, by Adagrad."""
+def train(rows: np.ndarray, cols: np.ndarray, counts: np.ndarray, v: int, contexts: int, dim: int = DIM, rounds: int = 40, negative: float = NEGATIVE, seed: int = 5, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Skip-gram vectors with negative sampling from pair counts (unit, context, count): the expected gradient, by Adagrad.
+
+    Gives the vectors of ``v`` units and of ``contexts`` contexts. Units are taken in blocks, so memory grows with the
+    contexts only.
+    """
     rng = np.random.default_rng(seed)
-    v = len(pairs)
-    w, c = (rng.standard_normal((2, v, dim)) * 0.1).astype(np.float32)
-    p = pairs.astype(np.float32) ** 0.75  # frequent pairs are damped, as by subsampling
-    noise = p.sum(0) ** 0.75
-    noise /= max(noise.sum(), 1e-9)
-    neg = negative * p.sum(1, keepdims=True) * noise
-    weight = np.maximum((p + neg).sum(1, keepdims=True), 1e-6)
-    p, neg = p / weight, neg / weight
+    w, c = (rng.standard_normal((v, dim)) * 0.1).astype(np.float32), (rng.standard_normal((contexts, dim)) * 0.1).astype(np.float32)
+    p = counts.astype(np.float32) ** 0.75  # frequent pairs are damped, as by subsampling
+    order = np.argsort(rows, kind="stable")
+    rows, cols, p = rows[order], cols[order], p[order]
+    noise = np.bincount(cols, p, contexts) ** 0.75
+    noise = (noise / max(noise.sum(), 1e-9)).astype(np.float32)
+    starts = np.searchsorted(rows, np.arange(0, v + block, block))
     gw, gc = np.full_like(w, 1e-6), np.full_like(c, 1e-6)
     for _ in range(rounds):
-        s = 1 / (1 + np.exp(-np.clip(w @ c.T, -15, 15)))
-        d = p * (1 - s) - neg * s
-        dw, dc = d @ c, d.T @ w
+        dw, dc = np.zeros_like(w), np.zeros_like(c)
+        for at, lo, hi in zip(range(0, v, block), starts, starts[1:]):
+            seen = np.zeros((min(block, v - at), contexts), np.float32)
+            seen[rows[lo:hi] - at, cols[lo:hi]] = p[lo:hi]
+            weight = np.maximum(seen.sum(1, keepdims=True), 1e-6)
+            seen /= weight * (1 + negative)
+            near = w[at : at + block]
+            s = 1 / (1 + np.exp(-np.clip(near @ c.T, -15, 15)))
+            d = seen * (1 - s) - (negative / (1 + negative)) * noise * s
+            dw[at : at + block] = d @ c
+            dc += d.T @ near
         gw += dw**2
         gc += dc**2
         w += 0.3 * dw / np.sqrt(gw)
@@ -249,12 +276,41 @@ def train(pairs: np.ndarray, dim: int = 24, rounds: int = 40, negative: float =
     return w, c
 
 
-def _pair_counter(units: dict[str, int], rare: dict[str, int], titles: dict[str, int]):
-    """Counts pairs (centre, context) within the window; centres are frequent units or rare words (after them).
+class Vectors:
+    """Skip-gram vectors of the frequent units, with a context vector for each place of the window."""
+
+    def __init__(self, counts: dict[str, int], pairs: tuple[np.ndarray, ...]):
+        """``pairs``: (distance, unit, the unit that follows at that distance, count)."""
+        self.units = {u: i for i, u in enumerate(sorted(counts))}
+        self.log = {u: log(n) for u, n in counts.items()}
+        v = len(self.units)
+        step, a, b, n = pairs
+        # The places are 2 before, 1 before, 1 after and 2 after; a pair is seen from both of its ends.
+        rows, cols = np.concatenate([a, b]), np.concatenate([(PLACES // 2 - 1 + step) * v + b, (PLACES // 2 - step) * v + a])
+        near, around = train(rows, cols, np.concatenate([n, n]), v, PLACES * v) if v else np.zeros((2, 0, DIM), np.float32)
+        self.near, self.around = near, np.concatenate([around.reshape(PLACES, v, DIM), np.zeros((PLACES, 1, DIM), np.float32)], axis=1)
+
+    def fits(self, units: list[str], context: np.ndarray) -> np.ndarray:
+        """Log of how much likelier each unit is than anywhere, by each row of unit numbers around and each place.
+
+        A unit without vector is as likely as anywhere, and a place without unit says nothing.
+        """
+        around = self.around[np.arange(PLACES), context]  # rows, places, dim
+        known = np.array([self.units.get(u, -1) for u in units])
+        # Negative sampling leaves out the log of the number of negatives.
+        return np.where((known[:, None, None] >= 0) & (context >= 0), np.einsum("ud,rpd->urp", self.near[known], around) + log(NEGATIVE), 0.0)
+
+    def gain(self, written: str, seen: str, context: np.ndarray) -> np.ndarray:
+        """How much more likely ``written`` is than ``seen`` by each row of contexts; one place decides little."""
+        fit = self.fits([written, seen], context)
+        return np.clip(fit[0] - fit[1], -PLACE_MOST, PLACE_MOST).sum(1)
+
 
-    Also counts each line of ``titles``, as pairs (-1, its number).
+def _pair_counter(words: dict[str, int], chars: dict[str, int], titles: dict[str, int]):
+    """``(kind, a, b, n)``: counts of pairs of units; kind: distance for words, WINDOW + distance for characters.
+
+    Also counts each line of ``titles``, as kind 0.
     """
-    v, total = len(units), len(units) + len(rare)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
@@ -262,68 +318,55 @@ def _pair_counter(units: dict[str, int], rare: dict[str, int], titles: dict[str,
         def unit(token: str) -> int:
             k = cache.get(token)
             if k is None:
-                c = core(token).lower()
-                k = units.get(c, -1)
-                if k < 0 and c in rare:
-                    k = v + rare[c]
+                k = words.get(core(token).lower(), -1)
                 if len(cache) < 300_000:
                     cache[token] = k
             return k
 
-        table = np.full(0x10000, -1, np.int32)
-        for u, k in units.items():
-            if len(u) == 1 and ord(u) > 0x2E7F:
-                table[min(ord(u), 0xFFFF)] = k
-        counts = np.zeros(total * v, np.int64) if total * v < 40_000_000 else None
-        sparse: Counter = Counter()
+        table = np.full(0x110000, -1, np.int32)
+        for u, k in chars.items():
+            table[ord(u)] = k
         lined: Counter = Counter()
-        hold: list[np.ndarray] = []
+        hold: tuple[list, list] = ([], [])
 
         def flush():
-            if not hold:
-                return
-            ids = np.concatenate(hold)
-            hold.clear()
-            for step in range(1, WINDOW + 1):
-                for a, b in ((ids[:-step], ids[step:]), (ids[step:], ids[:-step])):
-                    ok = (a >= 0) & (b >= 0) & (b < v)
-                    key = a[ok].astype(np.int64) * v + b[ok]
-                    if counts is not None:
-                        counts[:] += np.bincount(key, minlength=len(counts))
-                    else:
-                        sparse.update(key.tolist())
+            for kind, arrays in enumerate(hold):
+                if not arrays:
+                    continue
+                ids = np.concatenate(arrays)
+                arrays.clear()
+                for step in range(1, WINDOW + 1):
+                    x, y = ids[:-step], ids[step:]
+                    ok = (x >= 0) & (y >= 0)
+                    key, n = np.unique((x[ok].astype(np.int64) << 32) | y[ok], return_counts=True)
+                    if len(key):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind * WINDOW + step, np.int32)), pa.array((key >> 32).astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], ["kind", "a", "b", "n"])
 
         size = 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                for line in text.split("\n"):
+                lines = text.split("\n")
+                for line in lines:
                     if line in titles or (line[-1:].isspace() or line[:1].isspace()) and line.strip() in titles:
                         lined[titles[line.strip()]] += 1
-                if CJK.search(text):
-                    x = np.frombuffer(text.replace("\n", "").encode("utf-32-le"), np.uint32)
-                    ids = table[np.minimum(x, 0xFFFF)]
-                else:
-                    ids = np.array([unit(t) if t else -1 for t in _words_of(text.split("\n"))], np.int32)
-                hold.append(np.append(ids, np.full(WINDOW, -1, np.int32)))
+                cjk = bool(CJK.search(text))
+                ids = table[_points(text.replace("\n", ""))] if cjk else np.array([unit(t) if t else -1 for t in _words_of(lines)], np.int32)
+                hold[cjk].append(np.append(ids, np.full(WINDOW, -1, np.int32)))
                 size += len(ids)
                 if size > 2_000_000:
-                    flush()
+                    yield from flush()
                     size = 0
-        flush()
+        yield from flush()
         if lined:
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(lined), pa.int32()), pa.array(list(lined), pa.int32()), pa.array(list(lined.values()), pa.int64())], ["a", "b", "n"])
-        if counts is not None:
-            at = np.flatnonzero(counts)
-            n = counts[at]
-        else:
-            at, n = np.array(list(sparse), np.int64), np.array(list(sparse.values()), np.int64)
-        for i in range(0, len(at), 50_000):
-            k = at[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array((k // v).astype(np.int32)), pa.array((k % v).astype(np.int32)), pa.array(n[i : i + 50_000])], ["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(lined), pa.int32()), pa.array(list(lined), pa.int32()), pa.array([0] * len(lined), pa.int32()), pa.array(list(lined.values()), pa.int64())], ["kind", "a", "b", "n"])
 
     return work
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 # ---------------------------------------------------------------- model
 
 
@@ -333,16 +376,13 @@ class Model:
     def __init__(self):
         self.words: dict[str, int] = {}
         self.inner: dict[str, int] = {}
-        self.links: dict[str, str] = {}
-        self.vetoed: dict[str, frozenset[str]] = {}  # frequent words that the contexts of a rare one speak against
         self.titles: set[str] = set()
         self.captions: set[str] = set()  # lines that are next to page numbers only by chance
-        self.partners: dict[str, tuple[str, ...]] = {}
-        self.grams: dict[str, int] = {}
-        self.strange: set[str] = set()
+        self.partners: dict[str, tuple[str, ...]] = {}  # characters that may have been written for one that is seen
+        self.chars: dict[str, int] = {}  # counts of these
+        self.word_vectors = self.char_vectors = Vectors({}, (np.zeros(0, np.int64),) * 4)
         self.first_parts: set[str] = set()
         self.parts: set[str] = set()  # of compounds
-        self.total = 1
         self.floor = 1  # rarer words are not in ``words``
 
     def finish(self) -> Model:
@@ -350,74 +390,93 @@ class Model:
             if "-" in w.strip("-"):
                 self.first_parts.add(w.split("-")[0])
                 self.parts.update(w.split("-"))
-        self.strong = {w for w, n in self.words.items() if n >= RATIO * self.floor and w not in self.links}
-        # All misreadings by one edit between letters, turned round: a look-up instead of a search, while they are few.
-        self.near: dict[str, str] | None = None
-        if len(self.strong) <= NEAR_WORDS:
-            self.near = {}
-            for w in sorted(self.strong, key=self.words.get):
-                for seen, written in GLYPHS:
-                    at = w.find(written) if seen.isalpha() else -1
-                    while at >= 0:
-                        self.near[w[:at] + seen + w[at + len(written) :]] = w
-                        at = w.find(written, at + 1)
-        self.outlines = {outline(w): w for w in sorted(self.strong, key=self.words.get)}
-        seen = "".join(re.escape(c) for c in {*self.partners, *self.strange})
+        self.strong = strong_words(self.words, self.floor)
+        # All misreadings by one edit between letters, turned round: a look-up instead of a search.
+        near = defaultdict(set)
+        for w in self.strong:
+            for seen, written in GLYPHS:
+                at = w.find(written) if seen.isalpha() else -1
+                while at >= 0:
+                    near[w[:at] + seen + w[at + len(written) :]].add(w)
+                    at = w.find(written, at + 1)
+        self.near = {k: frozenset(v) for k, v in near.items()}
+        outlines = defaultdict(set)
+        for w in self.strong:
+            outlines[outline(w)].add(w)
+        self.outlines = {k: frozenset(v) for k, v in outlines.items()}
+        seen = "".join(re.escape(c) for c in self.partners)
         self.suspects = re.compile(f"[{seen}]") if seen else None
-        self.cache: dict[str, str | None] = {}
+        self.cache: dict[str, str | tuple[str, ...] | None] = {}
         return self
 
     def _count(self, word: str) -> int:
         return self.words.get(word, 0)
 
     def known(self, word: str) -> bool:
-        return word in self.words and word not in self.links
-
-    def correct(self, token: str) -> str | None:
-        """The word that was written, if ``token`` is a misreading; None if it is fine."""
+        return word in self.words and not self.links(word)
+
+    def links(self, word: str) -> tuple[str, ...]:
+        """The frequent words that a rare one may be a misreading of: one plausible edit away, or more from a long word."""
+        n = self.words.get(word, 0)
+        if len(word) < 2 or word.isdigit() or word in self.strong and n * RATIO > max(self.strong.values()):
+            return ()
+        found = self.near.get(word, frozenset()) if word.isascii() and word.isalpha() else self.strong.keys() & set(plausible(word))
+        if len(word) == 2 and word.isalpha() and n:
+            return ()
+        if not found and not n and len(word) > 6 and self._least(word) < self.floor:  # else it reads like a name
+            found = self.outlines.get(outline(word), frozenset())
+        return tuple(sorted((f for f in found if f != word and self.strong[f] >= RATIO * max(n, self.floor)), key=lambda f: (-self.strong[f], f)))
+
+    def choices(self, token: str) -> str | tuple[str, ...] | None:
+        """What ``token`` may be a misreading of: one reading for certain, frequent words for the context, or None."""
         hit = self.cache.get(token, "?")
         if hit != "?":
             return hit
-        out = self._correct(token)
+        out = self._choices(token)
         if len(self.cache) < 300_000:
             self.cache[token] = out
         return out
 
-    def _correct(self, token: str) -> str | None:
+    def _choices(self, token: str) -> str | tuple[str, ...] | None:
         word = core(token).lower()
         if not token.isascii() and LIGATURES.search(token):
             return unicodedata.normalize("NFKC", token)
         if not word or not LATIN_WORD.search(word):
             return None
         bracket = token.strip(EDGE).lower()  # a bracket may be a misread letter
-        if bracket != word and bracket[:1] in "([" and RATIO * self.words.get(word, 0) < max(map(self._count, plausible(bracket)), default=0):
-            return self.links.get(bracket) or self._link(bracket)
-        if word in self.links:
-            return self.links[word]
+        if bracket != word and bracket[:1] in "([" and (found := self.links(bracket)) and RATIO * self._count(word) < self._count(found[0]):
+            return found
+        if found := self.links(word):
+            return found
         if word in self.words:
             return None
         if "-" in word:
             parts = word.split("-")
-            fixed = [self._correct(p) if p else None for p in parts]
+            fixed = [self.likely(p) if p else None for p in parts]
             return "-".join(f or p for f, p in zip(fixed, parts)) if any(fixed) else None
-        if word.isdigit() or MIXED.search(word):
+        if word.isdigit() or MIXED.search(word) or word in self.parts:
             return None
-        if word in self.parts:
-            return None
-        if w := self._link(word):
-            return w
         return None if word.isascii() and word.isalpha() else self._like_a_word(word)
 
-    def _link(self, word: str) -> str | None:
-        """The most frequent word one edit away, or more from a long word, that is far above the rare ones."""
-        veto = self.vetoed.get(word, frozenset())
-        if self.near is not None and not veto and word.isascii() and word.isalpha():
-            best = self.near.get(word)
-        else:
-            best = max(self.strong.intersection(plausible(word)) - veto, key=self.words.get, default=None)
-        if best is None and len(word) > 6 and self._least(word) < self.floor:  # else it reads like a name
-            best = self.outlines.get(outline(word))
-        return None if best in veto else best
+    def likely(self, token: str) -> str | None:
+        """The likeliest reading where there is no context: the most frequent one."""
+        found = self.choices(token)
+        return found[0] if isinstance(found, tuple) else found
+
+    def correct(self, token: str, context: np.ndarray) -> str | None:
+        """The word that was written, if ``token`` is a misreading by its context (one row); None if it is fine."""
+        found = self.choices(token)
+        if not isinstance(found, tuple):
+            return found
+        n = max(self.words.get(core(token).lower(), 0), self.floor)
+        score, word = max((float(self.word_vectors.gain(f, "", context)[0]) + log(self.strong[f] / (RATIO * n)), f) for f in found)
+        return word if score > -WORD_DOUBT else None
+
+    def context(self, tokens: list[str], at: int, end: int) -> np.ndarray:
+        """Numbers of the units before place ``at`` and from place ``end`` on."""
+        units = self.word_vectors.units
+        beside = [*range(at - PLACES // 2, at), *range(end, end + PLACES // 2)]
+        return np.array([[units.get(core(tokens[k]).lower(), -1) if 0 <= k < len(tokens) else -1 for k in beside]])
 
     def _least(self, word: str) -> int:
         p = f"^{word}$"
@@ -434,34 +493,40 @@ class Model:
         return None
 
     def odd_characters(self, text: str) -> list[tuple[int, str]]:
-        """(place, written character) of misread characters of running text."""
+        """(place, written character) of misread characters of running text, by the contexts of each."""
+        places = [m.start() for m in self.suspects.finditer(text)] if self.suspects is not None else []
+        if not places:
+            return []
+        table, vectors = self._table(), self.char_vectors
+        ids = np.concatenate([np.full(WINDOW, -1, np.int32), table[_points(text)], np.full(WINDOW, -1, np.int32)])
+        beside = [k for k in range(-WINDOW, WINDOW + 1) if k]
+        by_char = defaultdict(list)
+        for i in places:
+            by_char[text[i]].append(i)
         out = []
-        if self.suspects is None:
-            return out
-        grams = self.grams
-        for m in self.suspects.finditer(text):
-            i, c = m.start(), m[0]
-            a, b = text[max(0, i - 2) : i], text[i + 1 : i + 3]
-            best, gain = None, 3.4
-            for w in self.partners.get(c, ()):
-                score, top, n = 0.0, 0, 0
-                for left, right in ((a[-2:], ""), (a[-1:], b[:1]), ("", b[:2])):
-                    if len(left) + len(right) == 2:
-                        x, y = grams.get(left + c + right, 0), grams.get(left + w + right, 0)
-                        score += log((y + 0.5) / (x + 0.5))
-                        top = max(top, y)
-                        n += 1
-                if n and top >= 4 and score > gain * (0.6 + 0.2 * min(n, 2)):
-                    best, gain = w, score
-            if best is None and c in self.strange:
-                best = next(iter(self.partners.get(c, ())), c)
-            if best is not None:
-                out.append((i, best))
-        return out
+        for c, at in by_char.items():
+            context = ids[np.array(at)[:, None] + WINDOW + beside]
+            options = self.partners[c]
+            scores = np.stack([vectors.gain(w, c, context) + log(self.chars[w] / self.chars[c]) for w in options])
+            best = scores.argmax(0)
+            out += [(i, options[k]) for i, k, s in zip(at, best, scores.max(0)) if s > CHARACTER_GAIN]
+        return sorted(out)
+
+    def _table(self) -> np.ndarray:
+        if not hasattr(self, "_numbers"):
+            self._numbers = np.full(0x110000, -1, np.int32)
+            for u, k in self.char_vectors.units.items():
+                self._numbers[ord(u)] = k
+        return self._numbers
+
+
+def strong_words(words: dict[str, int], floor: int) -> dict[str, int]:
+    """Words frequent enough for the rarest to be a misreading of them."""
+    return {w: n for w, n in words.items() if n >= RATIO * floor}
 
 
 def learn(chunks: DataFrame) -> Model:
-    """Statistics, vectors and links from all chunks."""
+    """Statistics, vectors and pairs of characters from all chunks."""
     texts = chunks.where(F.col("text").isNotNull()).select("text")
     stats = texts.mapInArrow(_statistics, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).persist()
     try:
@@ -473,132 +538,78 @@ def learn(chunks: DataFrame) -> Model:
 def _learn(texts: DataFrame, stats: DataFrame) -> Model:
     m = Model()
     totals = {r["kind"]: r["t"] for r in stats.groupBy("kind").agg(F.sum("n").alias("t")).collect()}
-    total_words, total_grams = totals.get("w", 0), totals.get("c", 0)
-    m.total = max(1, total_words)
-    floor = m.floor = max(3, int(total_words * WORD_SHARE))
-    word_rows = stats.where("kind = 'w'").select("key", "n")
-    m.words = {r.key: r.n for r in word_rows.where(F.col("n") >= floor).collect()}
+    total_words, total_chars = totals.get("w", 0), totals.get("c", 0)
+    floor = m.floor = max(2, int(total_words * WORD_SHARE))
+    m.words = {r.key: r.n for r in stats.where("kind = 'w'").where(F.col("n") >= floor).select("key", "n").collect()}
     m.inner = {r.key: r.n for r in stats.where("kind = 'i'").where(F.col("n") >= max(2, int(total_words * 1e-6))).select("key", "n").collect()}
     # A title is next to page numbers again and again, in one source or in several.
     # At most 1 / EDGE_SHARE lines.
     beside = {r.key: r.n for r in stats.where("kind = 'e'").where(F.col("n") >= max(3, int(totals.get("e", 0) * EDGE_SHARE))).select("key", "n").collect()}
-    lines = {k: i for i, k in enumerate(sorted(beside))}
-
-    strong = {w: n for w, n in m.words.items() if n >= RATIO * 2}
-    outlines = {outline(w): w for w in sorted(m.words, key=m.words.get) if m.words[w] >= RATIO * floor}
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for w, n in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist()):
-                if len(w) < 2 or w.isdigit():
-                    continue
-                for f in {c for c in plausible(w) if strong.get(c, 0) >= RATIO * n}:
-                    if len(w) > 2 or not w.isalpha():
-                        out.append((w, n, f))
-                if n < floor and len(w) < 3 and w.isalpha():
-                    out += [(w, n, f) for f in {c for c in plausible(w) if strong.get(c, 0) >= RATIO * floor}]
-                if n < floor and len(w) > 6 and (f := outlines.get(outline(w))) and f not in {*plausible(w)}:
-                    out.append((w, n, f))
-            cols = list(zip(*out)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["w", "n", "f"])
-
-    candidates = defaultdict(list)
-    for r in word_rows.mapInArrow(link, "w string, n long, f string").collect():  # each is one edit from a strong word, or has its outline
-        candidates[r.w].append(r.f)
-
-    glyphs = _glyph_pairs(stats, total_grams, m)
-    units = _units(stats, m)
-    rare = {w: i for i, w in enumerate(sorted(candidates))}
-    counted = texts.mapInArrow(_pair_counter(units, rare, lines), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
-    a, b, n = (counted[c].to_numpy() for c in ("a", "b", "n"))
+    names = sorted(beside)
+    lines = {k: i for i, k in enumerate(names)}
+    home = {r.c: r.n for r in stats.where("kind = 'c'").groupBy(F.substring("key", 2, 1).alias("c")).agg(F.sum("n").alias("n")).collect()}  # one row a character
+
+    strong = strong_words(m.words, floor)
+    frequent = {c: n for c, n in home.items() if n >= max(RATIO, total_chars * UNIT_SHARE)}
+    number = [{u: i for i, u in enumerate(sorted(x))} for x in (strong, frequent)]
+    counted = texts.mapInArrow(_pair_counter(*number, lines), "kind int, a int, b int, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    # At most 1 / PAIR_SHARE pairs; rarer ones say nothing.
+    counted = counted.where((F.col("kind") == 0) | (F.col("n") >= max(1, int(PAIR_SHARE * WINDOW * (total_words + total_chars))))).toArrow()
+    kind, a, b, n = (counted[c].to_numpy() for c in ("kind", "a", "b", "n"))
     often, near = Counter(), Counter()
-    for k, i in zip(sorted(beside), range(len(lines))):
+    for k in names:
         near[title_key(k)] += beside[k]
-    names = sorted(lines)
-    for i, k in zip(b[a < 0], n[a < 0]):
+    for i, k in zip(a[kind == 0], n[kind == 0]):
         often[title_key(names[i])] += int(k)
     m.titles = {k for k, x in near.items() if x >= 0.4 * often[k]}
     m.captions = set(near) - m.titles
-    a, b, n = a[a >= 0], b[a >= 0], n[a >= 0]
-    v = len(units)
-    pairs = np.zeros((v, v), np.float32)
-    inside = a < v
-    pairs[a[inside], b[inside]] = n[inside]
-    if v:
-        w, c = train(pairs)
-        around = np.zeros((len(rare), c.shape[1]), np.float32)
-        seen = np.zeros(len(rare))
-        np.add.at(around, a[~inside] - v, c[b[~inside]] * n[~inside][:, None])
-        np.add.at(seen, a[~inside] - v, n[~inside])
-        around /= np.maximum(seen, 1)[:, None]
-        middle = w.mean(0)
-    for word, targets in candidates.items():
-        i = rare[word]
-        scored, against = [], set()
-        edits = {*plausible(word)} if len(word) > 2 or not word.isalpha() else set()  # other targets are left to the look-up
-        for t in targets:
-            k = units.get(t)
-            # How much better the contexts of the rare word fit the frequent one than a word in general.
-            fit = float((w[k] - middle) @ around[i]) if k is not None and seen[i] else 0.0
-            if fit <= -1.0 and word.isalpha():
-                against.add(t)
-            elif t in edits:
-                scored.append((fit, m.words[t], t))
-        if scored:
-            m.links[word] = max(scored)[2]
-        elif against:
-            m.vetoed[word] = frozenset(against)
-    for word in list(m.links):
-        m.links[word] = m.links.get(m.links[word], m.links[word])
-    m.partners, m.strange, m.grams = glyphs
+    for of_chars, units in enumerate((strong, frequent)):
+        one = (kind > of_chars * WINDOW) & (kind <= (of_chars + 1) * WINDOW)
+        vectors = Vectors(units, (kind[one] - of_chars * WINDOW, a[one], b[one], n[one]))
+        if of_chars:
+            m.char_vectors = vectors
+        else:
+            m.word_vectors = vectors
+    m.partners = character_pairs(stats, home, total_chars, m.char_vectors)
+    m.chars = {c: home[c] for c in {*m.partners, *[w for ws in m.partners.values() for w in ws]}}
     return m.finish()
 
 
-def _units(stats: DataFrame, m: Model) -> dict[str, int]:
-    chars = stats.where("kind = 'c'").groupBy(F.substring("key", 2, 1).alias("c")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(VECTOR_WORDS // 2).collect()
-    top = sorted(m.words, key=lambda x: (-m.words[x], x))[: VECTOR_WORDS // 2]
-    return {u: i for i, u in enumerate([*top, *[r.c for r in chars]])}
-
-
-def _glyph_pairs(stats: DataFrame, total: int, m: Model):
-    """Glyph pairs of running text (seen -> written), characters never at home, and the trigrams to judge them by."""
-    if not total:
-        return {}, set(), {}
-    g = stats.where("kind = 'c'").select(F.substring("key", 1, 1).alias("l"), F.substring("key", 2, 1).alias("c"), F.substring("key", 3, 1).alias("r"), "n", "key")
-    context = g.groupBy("l", "r").agg(F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("top"))
-    joined = g.join(context, ["l", "r"])
-    minor = (F.col("c") != F.col("top.c")) & (F.col("top.n") >= 20) & (F.col("top.n") >= 0.9 * F.col("all")) & (F.col("n") * RATIO <= F.col("top.n"))
-    votes = joined.where(minor).groupBy("c", F.col("top.c").alias("w")).agg(F.count("*").alias("contexts"), F.sum("n").alias("n")).where((F.col("contexts") >= 2) & (F.col("n") >= total * PAIR_SHARE)).collect()
-    home = joined.groupBy("c").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") * 2 >= F.col("all"), F.col("n")).otherwise(0)).alias("h"), F.sum(F.when(minor, F.col("n")).otherwise(0)).alias("odd")).collect()  # one row per character
-    count = {r.c: r.n for r in home}
-    kana_han = lambda x: bool(CJK.match(x))
-    listed = defaultdict(set)
-    for pair in LOOKALIKES:
-        a, b = pair
-        listed[a].add(b)
-        listed[b].add(a)
-    partners = defaultdict(list)
-    support = Counter()
-    for r in votes:
-        if kana_han(r.c) and kana_han(r.w):
-            support[r.c, r.w] = r.contexts
-    odd_share = {r.c: r.odd / r.n for r in home if r.n}
-    for (c, w), contexts in support.items():
-        if w in listed.get(c, ()) or (contexts >= 4 and odd_share.get(c, 0) > 0.5):
-            partners[c].append(w)
-    for c, ws in listed.items():
-        for w in ws:
-            if c in count and count.get(w, 0) > count[c] and w not in partners[c]:
-                partners[c].append(w)
-    partners = {c: tuple(ws) for c, ws in partners.items() if ws}
-    strange = {r.c for r in home if kana_han(r.c) and r.n >= 2 and r.h < 0.1 * r.n and r.odd > 0.6 * r.n and r.c in partners}
-    chars = sorted({*partners, *[w for ws in partners.values() for w in ws]})
-    grams = {}
-    if chars:
-        wanted = F.col("l").isin(chars) | F.col("c").isin(chars) | F.col("r").isin(chars)
-        grams = {r.key: r.n for r in g.where(wanted & (F.col("n") >= max(2, int(total * GRAM_SHARE)))).select("key", "n").collect()}
-    return partners, strange, grams
+def character_pairs(stats: DataFrame, home: dict[str, int], total: int, vectors: Vectors) -> dict[str, tuple[str, ...]]:
+    """Characters that a seen one may stand for: frequent ones with a vector, rarer themselves or not.
+
+    Learned: a rare character at most places of which, several different ones, the characters beside it call for the same frequent one. Listed
+    look-alikes are plausible without this; it is always the context of a place that decides about it.
+    """
+    partners = defaultdict(set)
+    for a, b in [*LOOKALIKES, *[pair[::-1] for pair in LOOKALIKES]]:
+        if a in home and b in vectors.units and home[b] > home[a]:
+            partners[a].add(b)
+    rare = {c: n for c, n in home.items() if c not in vectors.units and CJK.match(c) and n >= max(4, total * RARE_SHARE)}
+    if rare and vectors.units:
+        shared = stats.sparkSession.sparkContext.broadcast((vectors, frozenset(rare)))
+
+        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vec, rare = shared.value
+            names = np.array(list(vec.units))
+            usual = np.array([vec.log[u] for u in names])
+            script = np.array([bool(CJK.match(u)) for u in names])
+            for batch in batches:
+                rows = [(k, n) for k, n in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist()) if k[1] in rare]
+                for i in range(0, len(rows), 2048):
+                    part = rows[i : i + 2048]
+                    context = np.array([[-1] * (WINDOW - 1) + [vec.units.get(k[0], -1), vec.units.get(k[2], -1)] + [-1] * (WINDOW - 1) for k, _ in part])
+                    fit = vec.fits(list(names), context).sum(2)
+                    best = np.where(script[:, None], fit + usual[:, None], -np.inf).argmax(0)
+                    found = [(k[1], names[w], n) for (k, n), w, x in zip(part, best, fit[best, np.arange(len(part))]) if x >= LEARNED_FIT]
+                    cols = list(zip(*found)) if found else [[]] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["c", "w", "n"])
+
+        found = stats.where("kind = 'c'").select("key", "n").mapInArrow(votes, "c string, w string, n long").groupBy("c", "w").agg(F.count("*").alias("contexts"), F.sum("n").alias("n"))
+        for r in found.where(F.col("contexts") >= LEARNED_PLACES).collect():  # at most one row for each two characters
+            if r.n >= LEARNED_MOST * home[r.c] and home[r.w] >= RATIO * home[r.c]:
+                partners[r.c].add(r.w)
+    return {c: tuple(sorted(ws)) for c, ws in partners.items()}
 
 
 # ---------------------------------------------------------------- lines
@@ -708,6 +719,8 @@ def mark_words(lines: list[Line], model: Model) -> set[tuple[int, int]]:
             if model.known(whole) or not (pair in model.words or _compound(model, a.lower(), b.lower(), whole)):
                 body[i].hyphen = joined[i] = last[:-1] + nxt
     cache, unseen = model.cache, "?"
+    flat = [t for words in tokens for t in words]
+    start = 0
     for i, x in enumerate(body):
         fixed = {}
         if not x.text.isascii() and LIGATURES.search(x.text) or DIGIT_BESIDE.search(x.text) and MIXED.search(x.text):
@@ -718,14 +731,15 @@ def mark_words(lines: list[Line], model: Model) -> set[tuple[int, int]]:
                 continue
             c = cache.get(t, unseen)
             if c is unseen:
-                c = model.correct(t)
-            if c is not None:
+                c = model.choices(t)
+            if c is not None and (c := model.correct(t, model.context(flat, start + j, start + j + 1))) is not None:
                 fixed[j] = c
                 odd.add((x.chunk, x.no))
         x.fixed = fixed
+        start += len(words)
         if i in joined:
             whole = joined[i]
-            c = model.correct(whole)
+            c = model.correct(whole, model.context(flat, start - 1, start + 1))
             if c is not None:
                 # The misread character lies in the part before or after the cut, where seen and written first differ.
                 seen, head = core(whole).lower(), len(core(words[-1][:-1]))
@@ -756,10 +770,10 @@ def _compound(model: Model, a: str, b: str, whole: str) -> bool:
     """Whether ``a-b`` looks like a compound broken at its own hyphen."""
     if a not in model.first_parts:
         return False
-    fixed = model.correct(b) if b else None
+    fixed = model.likely(b) if b else None
     if f"{a}-{fixed or b}" in model.words:
         return True
-    if (w := model.correct(whole)) is not None and w in model.words:
+    if (w := model.likely(whole)) is not None and w in model.words:
         return False
     return any(h.startswith(f"{a}-{b[:3]}") for h in model.words if h.startswith(a + "-"))
 
@@ -767,8 +781,8 @@ def _compound(model: Model, a: str, b: str, whole: str) -> bool:
 TABLE_ROW = re.compile(r"^\s*[\d.,%|-]+(?:\s{2,}|\s*\|\s*)[\d.,%|\s-]*$")
 
 
-def paragraphs(lines: list[Line]) -> list[str]:
-    """Continuous text of the lines, furniture dropped.
+def paragraphs(lines: list[Line]) -> list[tuple[list[tuple[int, str]], int | None]]:
+    """Continuous text of the lines, furniture dropped: (parts by chunk, chunk at which it ended, if it did).
 
     A blank line ends a paragraph; next to furniture, or between chunks, only if the sentence has ended, for there the
     page may have cut it. Headings, table rows, captions, bare numbers and the title at the start stand alone. In
@@ -776,14 +790,14 @@ def paragraphs(lines: list[Line]) -> list[str]:
     """
     widths = [len(x.text) for x in lines if x.kind is None and x.text.strip()]
     wide = float(np.percentile(widths, 90)) if widths else 0.0
-    out: list[str] = []
-    cur, soft, hard, skip_first, chunk, after_row = "", False, False, False, None, False
+    out: list[tuple[list[tuple[int, str]], int | None]] = []
+    cur, parts, soft, hard, skip_first, chunk, after_row = "", [], False, False, False, None, False
 
-    def close() -> None:
-        nonlocal cur
+    def close(end: int | None = None) -> None:
+        nonlocal cur, parts
         if cur:
-            out.append(cur)
-        cur = ""
+            out.append((parts, end))
+        cur, parts = "", []
 
     first = next((x for x in lines if x.text.strip()), None)
     for i, x in enumerate(lines):
@@ -802,7 +816,7 @@ def paragraphs(lines: list[Line]) -> list[str]:
         ended = cur.endswith((".", "!", "?", "。", "！", "？"))
         alone = bool(HEADING.match(x.text) or TABLE_ROW.match(x.text) or x.text.strip().isdigit() or (after_row and len(x.text) < 0.8 * wide) or (x is first and x.chunk == 0 and _title_like(x.text)))
         if hard or alone or (soft and ended):
-            close()
+            close(x.chunk)
         hard = soft = False
         after_row = bool(TABLE_ROW.match(x.text))
         words = x.text.split()
@@ -817,9 +831,10 @@ def paragraphs(lines: list[Line]) -> list[str]:
         if piece:
             han = bool(CJK.search(cur[-60:]) or CJK.search(piece[:60]))
             tight = not cur or (han and not (cur[-1:].isascii() and cur[-1:].isalpha() and piece[:1].isascii() and piece[:1].isalpha()))
-            cur += piece if tight else " " + piece
+            parts.append((x.chunk, piece if tight else " " + piece))
+            cur += parts[-1][1]
         if alone or (len(x.text) < 0.6 * wide and cur.endswith((".", "。", "!", "?", "！", "？"))):
-            close()
+            close(x.chunk)
     close()
     return out
 
@@ -834,12 +849,12 @@ def _like(seen: str, written: str) -> str:
     return (lead if lead.strip("([") or not seen[:1] in "([" else "") + written + tail
 
 
-def _blocks(chunks: DataFrame) -> DataFrame:
-    """Chunks by source and block; the chunk before and after a block comes with it."""
+def _blocks(chunks: DataFrame, block: int) -> DataFrame:
+    """Chunks by source and block; the chunks near a block come with it."""
     i = F.col("chunk_index")
-    at = F.array_distinct(F.array(*[F.floor((i + d) / BLOCK) for d in (-1, 0, 1)]))
+    at = F.array_distinct(F.array(*[F.floor((i + d) / block) for d in (-HALO, 0, HALO)]))
     rows = chunks.where(F.col("text").isNotNull() & F.col("source_id").isNotNull() & i.isNotNull()).select("source_id", i.cast("int").alias("chunk_index"), "text")
-    return rows.withColumn("block", F.explode(at)).where("block >= 0")
+    return rows.withColumn("block", F.explode(at)).where((F.col("block") >= 0) | (i < 0))
 
 
 def _lines_of(group: pa.Table, model: Model) -> tuple[list[Line], set[tuple[int, int]]]:
@@ -855,31 +870,48 @@ def _lines_of(group: pa.Table, model: Model) -> tuple[list[Line], set[tuple[int,
     return lines, mark_words(lines, model)
 
 
-def noise(chunks: DataFrame, model: Model) -> DataFrame:
+def noise(chunks: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
     """``(source_id, chunk_index, line_no, kind)`` of every noisy line."""
     shared = chunks.sparkSession.sparkContext.broadcast(model)
 
     def work(key, group):
-        block = key[1].as_py()
+        mine = key[1].as_py()
         lines, odd = _lines_of(group, shared.value)
         rows = {(x.chunk, x.no, x.kind) for x in lines if x.kind}
         rows |= {(x.chunk, x.no, "hyphen") for x in lines if x.hyphen is not None} | {(c, n, "misread") for c, n in odd}
-        rows = sorted(r for r in rows if r[0] // BLOCK == block)
+        rows = sorted(r for r in rows if r[0] // block == mine)
         cols = list(zip(*rows)) if rows else [[], [], []]
         return pa.table([pa.array([key[0].as_py()] * len(rows), pa.string()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], ["source_id", "chunk_index", "line_no", "kind"])
 
-    return _blocks(chunks).groupBy("source_id", "block").applyInArrow(work, "source_id string, chunk_index int, line_no int, kind string")
+    return _blocks(chunks, block).groupBy("source_id", "block").applyInArrow(work, "source_id string, chunk_index int, line_no int, kind string")
 
 
-def repaired(chunks: DataFrame, model: Model) -> DataFrame:
-    """``(source_id, block, paragraph, text)``: the same content as continuous paragraphs."""
+def repaired(chunks: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
+    """``(source_id, block, paragraph, continued, text)``: the same content as continuous paragraphs.
+
+    A paragraph is in the block of its start. One that goes on for more than ``HALO`` chunks in the next block is given
+    block by block, ``continued`` from the last one of the block before.
+    """
     shared = chunks.sparkSession.sparkContext.broadcast(model)
 
     def work(key, group):
-        block = key[1].as_py()
+        mine = key[1].as_py()
         lines, _ = _lines_of(group, shared.value)
-        text = paragraphs([x for x in lines if x.chunk // BLOCK == block])
+        text, continued = [], []
+        for parts, end in paragraphs(lines):
+            first = parts[0][0] // block
+            # The block of the start saw this end; else each block has what lies in it.
+            whole = end is not None and end < (first + 1) * block + HALO
+            if whole and first != mine:
+                continue
+            own = "".join(t for c, t in parts if whole or c // block == mine)
+            if own:
+                text.append(own.strip())
+                continued.append(first < mine)
         n = len(text)
-        return pa.table([pa.array([key[0].as_py()] * n, pa.string()), pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(text, pa.string())], ["source_id", "block", "paragraph", "text"])
+        return pa.table(
+            [pa.array([key[0].as_py()] * n, pa.string()), pa.array([mine] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(continued, pa.bool_()), pa.array(text, pa.string())],
+            ["source_id", "block", "paragraph", "continued", "text"],
+        )
 
-    return _blocks(chunks).groupBy("source_id", "block").applyInArrow(work, "source_id string, block long, paragraph int, text string")
+    return _blocks(chunks, block).groupBy("source_id", "block").applyInArrow(work, "source_id string, block long, paragraph int, continued boolean, text string")
