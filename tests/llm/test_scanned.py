@@ -118,7 +118,7 @@ def test_pairs_of_characters_are_learned(spark, monkeypatch):
     """Rare ones without a list; a listed pair of frequent ones is told apart place by place; a real rare character stays."""
     monkeypatch.setattr(scanned, "LOOKALIKES", ("信行",))
     rnd = random.Random(4)
-    words = ["申請手続", "報告公開", "行政機関", "行政機関", "信用評価", *["".join(chr(0x5100 + 4 * i + k) for k in range(4)) for i in range(40)]]
+    words = ["申請手続", "報告公開", "行政機関", "行政機関", "信用評価", *["".join(chr(0x5100 + 4 * i + k) for k in range(4)) for i in range(18)]]
     lines = ["".join(rnd.choice(words) for _ in range(6)) for _ in range(6000)]
     truth = set()
     for i in range(0, 3000, 12):

@@ -57,7 +57,7 @@ NEGATIVE = 5.0
 PLACE_MOST = 6.0  # what one place of a context counts at most, for or against
 WORD_DOUBT = 0.0  # how far the odds may be against a misread word
 CHARACTER_GAIN = 1.0  # log odds that a misread character needs
-LEARNED_FIT = 4.0  # log odds by the characters beside it, of a place that counts for a pair
+LEARNED_FIT = 3.0  # log odds by the characters beside it, of a place that counts for a pair
 LEARNED_MOST = 0.6  # share of the places of a rare character that must count for a pair
 LEARNED_PLACES = 4  # different ones
 HYPHENS = "-­¬‐‑"
