@@ -121,8 +121,8 @@ def test_pairs_of_characters_are_learned(spark, monkeypatch):
     words = ["申請手続", "報告公開", "行政機関", "行政機関", "信用評価", *["".join(chr(0x5100 + 4 * i + k) for k in range(4)) for i in range(18)]]
     lines = ["".join(rnd.choice(words) for _ in range(6)) for _ in range(6000)]
     truth = set()
-    for i in range(0, 3000, 12):
-        seen, written = (("甲", "申"), ("服", "報"), ("信", "行"))[i // 12 % 3]
+    for i in range(0, 3000, 20):
+        seen, written = (("甲", "申"), ("服", "報"), ("信", "行"))[i // 20 % 3]
         if written in lines[i]:
             k = lines[i].index(written)
             lines[i] = lines[i][:k] + seen + lines[i][k + 1 :]
