@@ -64,6 +64,60 @@ def test_a_third_is_one_vector(spark):
     assert len({x[:2] for x in expect} & set(got)) / len(expect) >= 0.9
 
 
+def test_one_direction_and_different_lengths(spark):
+    """Vectors of one direction are one class: all but a few leave the index, their neighbours are exact."""
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((3000, 64)).astype(np.float32)
+    v[:2000] = v[0] * rng.uniform(0.05, 20, (2000, 1)).astype(np.float32)
+    ids = [f"V{i:05d}" for i in rng.permutation(3000)]
+    df = _frame(spark, ids, v)
+    rows, copies, n = knn._set_copies_aside(knn.usable_vectors(df, "id", "vec", 64), 3, 64)
+    assert n == 3000 and rows.count() < 1500
+    got = _found(df, cell_rows=256)
+    expect = knn.brute_force(ids, v, 3)
+    same = {x[:2] for x in expect if x[2] == 1.0}
+    assert len(same) == 6000 and len(same & set(got)) >= 0.97 * len(same)
+    assert len(got) == 9000
+
+
+def test_work_stays_flat_beyond_one_level(spark):
+    """At ten times the cells of one level the cells are no larger, and nearly all neighbours are found."""
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((1600, 64))
+    v = (np.repeat(base, 4, 0) + 0.3 * rng.standard_normal((6400, 64))).astype(np.float32)
+    ids = [f"V{i:05d}" for i in range(6400)]
+    df = _frame(spark, ids, v)
+    rows = knn.usable_vectors(df, "id", "vec", 64)
+    sizes, searched = {}, {}
+    for n in (640, 6400):
+        part = rows.where(f"id < 'V{n:05d}'")
+        cells = knn.place_cells(part, n, 3, 64, 32, single=20)
+        unit = knn._units(v[:n])
+        own = cells.home(unit)[0]
+        sizes[n], searched[n] = n / len(cells), len(cells.probes(unit)[0]) * np.bincount(own).max() / n
+        assert (len(cells.fine) > 1) == (n == 6400)
+    assert sizes[6400] <= 32 and sizes[640] <= 32
+    got = _found(df, cell_rows=32, single=20)
+    expect = {x[:2] for x in knn.brute_force(ids, v, 3)}
+    assert len(expect & set(got)) / len(expect) >= 0.98
+
+
+def test_a_hot_cell_is_split_on_both_sides(spark, monkeypatch):
+    """Most vectors in one cell, none of one direction: no task has all of them, and the answer is the same."""
+    monkeypatch.setattr(knn, "BLOCKS_FROM", 1)
+    rng = np.random.default_rng(12)
+    v = np.concatenate([np.ones(64) + 0.05 * rng.standard_normal((900, 64)), rng.standard_normal((300, 64))]).astype(np.float32)
+    ids = [f"V{i:05d}" for i in rng.permutation(1200)]
+    df = _frame(spark, ids, v)
+    cells = knn.place_cells(knn.usable_vectors(df, "id", "vec", 64), 1200, 3, 64, 16, single=1200)
+    assert len(cells.hot) > 5 and cells.blocks.max() > 1
+    got = _found(df, cell_rows=16, recall=1.0)
+    expect = {x[:2] for x in knn.brute_force(ids, v, 3)}
+    assert len(expect & set(got)) / len(expect) >= 0.97 and all(sum(a == i for a, _ in got) == 3 for i in ids[:50])
+    one = _found(df, cell_rows=40)  # one cell in blocks
+    assert len(expect & set(one)) / len(expect) >= 0.97
+
+
 @pytest.mark.parametrize("dim", [8, 96])
 def test_other_dimensions(spark, dim):
     v = np.random.default_rng(3).standard_normal((300, dim)).astype(np.float32)

@@ -1,19 +1,23 @@
 """The k most similar vectors of every vector: inverted cells of randomly rotated one-bit codes.
 
 * Centroids are fitted on the driver on a bounded sample (at most ``SAMPLE_MAX`` vectors, chosen by a hash of the
-  id); every vector is indexed, in the cell of its nearest centroid.
-* A vector searches its own cell and every cell whose centroid is nearly as close. How nearly is measured: for at most
+  id); every vector is indexed. There is a cell for every ``cell_rows`` vectors, however many these are: beyond
+  ``SINGLE_MAX`` cells a cell is a pair of a coarse centroid and a centroid of the residuals, both fitted on the same
+  sample, so that what is broadcast grows with the square root of the number of cells.
+* A vector lies in the cell of its nearest coarse centroid and, in it, the nearest residual. It searches its own cell
+  and all whose centroids are nearly as close, coarse and fine. How nearly is measured: for at most
   ``PROBES_MEASURED`` vectors, chosen by a hash, the true neighbours are found by brute force over all rows, and the
-  margin (in cosine) is the one that reaches ``RECALL`` of them.
+  margins (in cosine) are those that reach ``RECALL`` of them.
 * In a cell each vector is one bit per rotated coordinate of its residual to the cell's mean, packed into words, with
   three correction scalars. A query is quantised to four bits per coordinate; and + popcount of its bit planes
   gives an estimate of the inner product with an error bound. Every vector whose upper bound reaches the k-th best
   lower bound is reranked by the exact cosine, so within the probed cells the loss is that of the bound only.
 
 Only ``(cell, id, vector)`` rows are shuffled, about two per vector; each cell answers with k candidates per query.
-Cells expected to hold more than eight times ``cell_rows`` are split into blocks by a hash of the id; queries visit
-every block. Vectors that are exact copies of more than ``COPIES_MAX`` others leave the index except for the k + 1
-of smallest id: a copy's neighbours are those of its class's first member and that member itself, which is exact.
+Cells that hold more than ``BLOCKS_FROM`` times ``cell_rows`` vectors (all are counted) are split on both sides by
+hashes of the id: each part of the queries meets each block of the indexed vectors in a task of its own. Vectors of
+one direction, when they are more than ``COPIES_MAX``, leave the index except for the k + 1 of smallest id: their
+cosine is 1 to six decimals, so the nearest of each are the first k others of the class.
 
 Edge cases: null or blank ids and unusable vectors (wrong length, null, NaN or infinite entries, all zero) take no
 part; repeated rows count once; a vector is never its own neighbour; equal similarities (cosine rounded to six
@@ -28,8 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import cut_lineage
+
 SAMPLE_MAX = 65_536
-CELLS_MAX = 4_096
+SINGLE_MAX = 4_096
+BLOCKS_FROM = 8
 COPIES_MAX = 256
 PROBES_MEASURED = 256
 RECALL = 0.99
@@ -42,17 +49,63 @@ def rotation(dim: int, seed: int = 7) -> np.ndarray:
     return (q * np.sign(np.diag(r))).astype(np.float32)
 
 
-def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
-    """Spherical k-means centroids of unit vectors."""
+def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7, unit: bool = True) -> np.ndarray:
+    """Centroids by k-means: of unit vectors by cosine, else by distance."""
     c = sample[np.random.default_rng(seed).choice(len(sample), cells, replace=False)].copy()
     for _ in range(rounds):
-        best = np.concatenate([(sample[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(sample), 4096)])
+        half = 0 if unit else (c**2).sum(1) / 2
+        best = np.concatenate([(sample[i : i + 4096] @ c.T - half).argmax(1) for i in range(0, len(sample), 4096)])
         order = np.argsort(best, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(best[order]) > 0])
         sums = np.add.reduceat(sample[order], starts, axis=0)
-        norm = np.linalg.norm(sums, axis=1, keepdims=True)
-        c[best[order][starts]] = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), c[best[order][starts]])
-    return c
+        size = np.linalg.norm(sums, axis=1, keepdims=True) if unit else np.diff(np.r_[starts, len(order)])[:, None]
+        c[best[order][starts]] = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), c[best[order][starts]])
+    return c.astype(np.float32)
+
+
+class Cells:
+    """The centroids: one level, or coarse ones and those of the residuals. A cell's number is coarse * fine + fine."""
+
+    def __init__(self, sample: np.ndarray, cells: int, single: int, dim: int):
+        cells = max(1, min(cells, len(sample) // 4) if cells <= single else cells)
+        first = cells if cells <= single else int(np.ceil(np.sqrt(cells)))
+        self.coarse = fit_cells(sample, first) if first > 1 else np.zeros((1, dim), np.float32)
+        self.fine = np.zeros((1, dim), np.float32)
+        if cells > single:
+            self.fine = fit_cells(sample - self.coarse[(sample @ self.coarse.T).argmax(1)], first, unit=False)
+        self.length = np.sqrt(np.maximum((self.coarse**2).sum(1)[:, None] + 2 * self.coarse @ self.fine.T + (self.fine**2).sum(1), 1e-12)).astype(np.float32)
+        self.margins = (2.0, 2.0)
+        self.step = 2048 if len(self.fine) == 1 else int(np.clip(500_000 // len(self.fine), 16, 2048))  # rows at once
+        self.hot, self.blocks = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.coarse) * len(self.fine)
+
+    def home(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, its cosine, similarity to all coarse, to all residual centroids) of each vector."""
+        s1, s2 = unit @ self.coarse.T, unit @ self.fine.T
+        c = s1.argmax(1)
+        at = np.arange(len(unit))
+        inner = (s1[at, c][:, None] + s2) / self.length[c]
+        f = inner.argmax(1)
+        return c * len(self.fine) + f, inner[at, f], s1, s2
+
+    def probes(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, whether it is the row's own) of all cells to search."""
+        home, best, s1, s2 = self.home(unit)
+        r, c = np.nonzero(s1 >= s1.max(1, keepdims=True) - self.margins[0])
+        if len(self.fine) == 1:
+            return r, c, home[r] == c
+        at, f = np.nonzero((s1[r, c][:, None] + s2[r]) / self.length[c] >= (best[r] - self.margins[1])[:, None])
+        r, cell = r[at], c[at] * len(self.fine) + f
+        return r, cell, home[r] == cell
+
+    def split(self, cell: np.ndarray) -> np.ndarray:
+        """In how many parts each cell is split."""
+        if not len(self.hot):
+            return np.ones(len(cell), np.int64)
+        at = np.minimum(np.searchsorted(self.hot, cell), len(self.hot) - 1)
+        return np.where(self.hot[at] == cell, self.blocks[at], 1)
 
 
 def _pack(bits: np.ndarray) -> np.ndarray:
@@ -170,141 +223,192 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
 
 
-def nearest(vectors: DataFrame, id_col: str = "id", vec_col: str = "vec", k: int = 3, dim: int = 64, cell_rows: int = 1024, recall: float = RECALL) -> DataFrame:
-    """``(id, neighbour, similarity)``: the k most similar vectors of every usable vector."""
-    spark = vectors.sparkSession
-    rows = usable_vectors(vectors, id_col, vec_col, dim)
-    rows, copies, n = _set_copies_aside(rows, k)
-    cells = int(max(1, min(CELLS_MAX, n // cell_rows)))
-    every = max(1, -(-n // min(SAMPLE_MAX, 64 * cells)))
-    # Residue 0 is the sample; of residue 1, so that they are not what the centroids were fitted to, come the vectors
-    # whose neighbours are found by brute force.
-    part = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(every))
-    few = F.pmod(F.xxhash64(F.lit("probe"), "id"), F.lit(max(1, n // every // PROBES_MEASURED))) == 0
-    probe = (part == 1 % every) & few
-    picked = rows.where((part == 0) | probe).select("vec", (part == 0).alias("s"), probe.alias("p")).limit(2 * SAMPLE_MAX).toArrow()
+def _units(vecs: np.ndarray) -> np.ndarray:
+    return (vecs / np.linalg.norm(vecs.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
 
-    def units(flag: str, most: int) -> np.ndarray:
-        x = picked.filter(picked[flag])["vec"]
-        x = _matrix(x, dim)[:most].astype(np.float64) if len(x) else np.zeros((0, dim))
-        return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)).astype(np.float32)
-
-    sample = units("s", SAMPLE_MAX)
-    if len(sample) < cells * 4:
-        cells = max(1, len(sample) // 4)
-    centroids = fit_cells(sample, cells) if len(sample) >= max(cells, 1) else np.zeros((1, dim), np.float32)
-    margin = measured_margin(rows, centroids, units("p", 2 * PROBES_MEASURED), k, dim, recall)
-    load = np.bincount((sample @ centroids.T).argmax(1), minlength=cells) * every if len(sample) else np.zeros(cells)
-    blocks = np.maximum(1, np.ceil(load / (8 * cell_rows))).astype(np.int32)
-    shared = spark.sparkContext.broadcast((centroids, blocks))  # at most CELLS_MAX rows
+
+BOTH, QUERY, INDEXED = 0, 1, 2
+
+
+def nearest(vectors: DataFrame, id_col: str = "id", vec_col: str = "vec", k: int = 3, dim: int = 64, cell_rows: int = 1024, recall: float = RECALL, single: int = SINGLE_MAX) -> DataFrame:
+    """``(id, neighbour, similarity)``: the k most similar vectors of every usable vector."""
+    rows, copies, n = _set_copies_aside(usable_vectors(vectors, id_col, vec_col, dim), k, dim)
+    cells = place_cells(rows, n, k, dim, cell_rows, recall, single)
+    shared = vectors.sparkSession.sparkContext.broadcast(cells)
 
     def assign(batches):
-        cents, nblocks = shared.value
+        cells = shared.value
         for batch in batches:
             vecs = _matrix(batch.column("vec"), dim)
             if not len(vecs):
                 continue
             ids, salt = batch.column("id"), batch.column("salt").to_numpy(zero_copy_only=False)
-            unit = (vecs / np.linalg.norm(vecs.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
-            out = [[], [], [], []]
-            for i in range(0, len(unit), 2048):
-                sim = unit[i : i + 2048] @ cents.T
-                home = sim.argmax(1)
-                probe = sim >= sim.max(1, keepdims=True) - margin
-                r, c = np.nonzero(probe)
-                many = nblocks[c]
-                at = np.repeat(np.arange(len(r)), many)
-                b = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-                r, c = r[at], c[at]
-                mine = (home[r] == c) & (salt[i + r] % nblocks[c] == b)
-                for o, x in zip(out, (r + i, c, b, mine)):
-                    o.append(x)
-            r, c, b, mine = (np.concatenate(o) for o in out)
+            unit = _units(vecs)
+            out = [[], [], [], [], []]
+            for i in range(0, len(unit), cells.step):
+                r, c, own = cells.probes(unit[i : i + cells.step])
+                many, x = cells.split(c), salt[i + r]
+                whole = many == 1
+                # A query of a split cell goes to each of its blocks, an indexed vector to each part of the queries.
+                for rows_, role in ((whole, np.where(own, BOTH, QUERY)), (~whole, QUERY), (~whole & own, INDEXED)):
+                    at = np.flatnonzero(rows_)
+                    at = np.repeat(at, many[at])
+                    j = np.arange(len(at)) - np.searchsorted(at, at)
+                    mine = (x[at] >> 20) % many[at] if np.ndim(role) == 0 and role == QUERY else x[at] % many[at]
+                    block, part = (mine, j) if np.ndim(role) == 0 and role == INDEXED else (j, mine)
+                    block, part = (block, part) if np.ndim(role) == 0 else (0 * at, 0 * at)
+                    for o, y in zip(out, (r[at] + i, c[at], block, part, role[at] if np.ndim(role) else np.full(len(at), role))):
+                        o.append(y)
+            r, c, b, p, role = (np.concatenate(o) for o in out)
             raw = vecs[r].tobytes()
             offsets = np.arange(0, (len(r) + 1) * dim * 4, dim * 4, dtype=np.int32)
             binary = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(b, pa.int32()), pa.array(mine), ids.take(pa.array(r)), binary], ["cell", "block", "indexed", "id", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(b, pa.int32()), pa.array(p, pa.int32()), pa.array(role, pa.int32()), ids.take(pa.array(r)), binary], ["cell", "block", "part", "role", "id", "vec"])
 
     def search(key, group):
         group = group.combine_chunks()
         vecs = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.float32).reshape(-1, dim)
         ids = np.array(group.column("id").to_pylist(), dtype=object)
-        mine = group.column("indexed").to_numpy(zero_copy_only=False).astype(bool)
-        if not mine.any():
+        role = group.column("role").to_numpy(zero_copy_only=False)
+        mine, asks = role != QUERY, np.flatnonzero(role != INDEXED)
+        if not mine.any() or not len(asks):
             return pa.table({"id": pa.array([], pa.string()), "neighbour": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
-        order = np.argsort(ids, kind="stable")
+        order = asks[np.argsort(ids[asks], kind="stable")]
         same = np.r_[False, (ids[order][1:] == ids[order][:-1]) & (vecs[order][1:] == vecs[order][:-1]).all(1)]
         q = np.sort(order[~same])
         a, b, s = nearest_in_cell(ids[q], vecs[q], ids[mine], vecs[mine], rotation(dim), k)
         return pa.table({"id": pa.array(a, pa.string()), "neighbour": pa.array(b, pa.string()), "similarity": pa.array(s, pa.float64())})
 
-    placed = rows.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(1 << 20)).cast("int").alias("salt")).mapInArrow(assign, "cell int, block int, indexed boolean, id string, vec binary")
-    found = placed.groupBy("cell", "block").applyInArrow(search, "id string, neighbour string, similarity double")
+    placed = rows.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("salt")).mapInArrow(assign, "cell long, block int, part int, role int, id string, vec binary")
+    found = placed.groupBy("cell", "block", "part").applyInArrow(search, "id string, neighbour string, similarity double")
     best = found.groupBy("id").agg(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("d"), F.col("neighbour").alias("n")))).alias("c"))
     once = F.filter("c", lambda x, i: ~F.exists(F.slice("c", 1, i), lambda y: y["n"] == x["n"]))
     out = best.select("id", F.inline(F.slice(once, 1, k))).select("id", F.col("n").alias("neighbour"), (-F.col("d")).alias("similarity"))
-    return out if copies is None else out.unionByName(_copies_neighbours(copies, out, k))
+    return out if copies is None else out.unionByName(copies)
 
 
-def measured_margin(rows: DataFrame, centroids: np.ndarray, queries: np.ndarray, k: int, dim: int, recall: float) -> float:
-    """How much farther than the nearest centroid the cells must be searched that hold ``recall`` of the neighbours.
+def place_cells(rows: DataFrame, n: int, k: int, dim: int, cell_rows: int, recall: float = RECALL, single: int = SINGLE_MAX) -> Cells:
+    """The cells for ``n`` rows ``(id, vec)``, with margins and with the parts that the large ones are split in."""
+    wanted = max(1, n // cell_rows)
+    every = max(1, -(-n // SAMPLE_MAX)) if wanted > single else max(1, -(-n // min(SAMPLE_MAX, 64 * wanted)))
+    # Residue 0 is the sample; of residue 1, so that they are not what the centroids were fitted to, come the vectors
+    # whose neighbours are found by brute force.
+    part = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(every))
+    few = F.pmod(F.xxhash64(F.lit("probe"), "id"), F.lit(max(1, n // every // PROBES_MEASURED))) == 0
+    probe = (part == 1 % every) & few
+    picked = rows.where((part == 0) | probe).select("vec", (part == 0).alias("s"), probe.alias("p")).limit(2 * SAMPLE_MAX).toArrow()
 
-    Each batch of rows answers with its k + 1 best for each query (one may be the query itself), as cosine and margin.
+    def units(flag: str, most: int) -> np.ndarray:
+        x = picked.filter(picked[flag])["vec"]
+        return _units(_matrix(x, dim)[:most]) if len(x) else np.zeros((0, dim), np.float32)
+
+    cells = Cells(units("s", SAMPLE_MAX), wanted, single, dim)
+    large = BLOCKS_FROM * cell_rows
+    loads = measure(cells, rows, units("p", 2 * PROBES_MEASURED), k, dim, recall, large) if len(cells) > 1 else [(0, n)]
+    cells.hot, cells.blocks = np.array([(c, -(-x // large)) for c, x in sorted(loads)], np.int64).reshape(-1, 2).T
+    return cells
+
+
+def measure(cells: Cells, rows: DataFrame, queries: np.ndarray, k: int, dim: int, recall: float, large: int) -> list[tuple[int, int]]:
+    """Sets the margins within which ``recall`` of the neighbours lie; gives the cells of more than ``large`` vectors.
+
+    Each task answers with its k + 1 best for each query (one may be the query itself), as cosine and the distances of
+    their cells, and with the number of its vectors in each cell.
     """
-    if len(centroids) == 1 or not len(queries):
-        return 2.0
     spark = rows.sparkSession
-    near = queries @ centroids.T
-    shared = spark.sparkContext.broadcast((centroids, queries, near.max(1, keepdims=True) - near))
+    home, best, s1, s2 = cells.home(queries) if len(queries) else (None,) * 4
+    shared = spark.sparkContext.broadcast((cells, queries, best, s1, s2))
 
     def work(batches):
-        cents, q, behind = shared.value
+        cells, q, best, s1, s2 = shared.value
+        top = np.full((len(q), k + 1, 3), -9.0)
+        loads = {}
         for batch in batches:
             vecs = _matrix(batch.column("vec"), dim)
             if not len(vecs):
                 continue
-            unit = (vecs / np.linalg.norm(vecs.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
-            sim = q @ unit.T
-            top = np.argpartition(-sim, min(k, len(unit) - 1), axis=1)[:, : k + 1]
-            home = (unit[top.ravel()] @ cents.T).argmax(1).reshape(top.shape)
-            at = np.repeat(np.arange(len(q)), top.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(str)), pa.array(sim[at, top.ravel()].astype(np.float64)), pa.array(behind[at, home.ravel()].astype(np.float64))], ["q", "s", "margin"])
-
-    best = rows.select("vec").mapInArrow(work, "q string, s double, margin double")
-    # The best is the query itself, whose margin is zero.
+            unit = _units(vecs)
+            own = np.concatenate([cells.home(unit[i : i + cells.step])[0] for i in range(0, len(unit), cells.step)])
+            for c, m in zip(*(x.tolist() for x in np.unique(own, return_counts=True))):
+                loads[c] = loads.get(c, 0) + m
+            if len(q):
+                sim = q @ unit.T
+                near = np.argpartition(-sim, min(k, len(unit) - 1), axis=1)[:, : k + 1]
+                at = np.arange(len(q))[:, None]
+                c, f = np.divmod(own[near], len(cells.fine))
+                inner = (s1[at, c] + s2[at, f]) / cells.length[c, f]
+                new = np.stack([sim[at, near], s1.max(1, keepdims=True) - s1[at, c], best[:, None] - inner], axis=2)
+                both = np.concatenate([top, new], axis=1)
+                top = np.take_along_axis(both, np.argsort(-both[:, :, 0], axis=1)[:, : k + 1, None], axis=1)
+        at, j = np.nonzero(top[:, :, 0] > -9)
+        x = top[at, j]
+        none = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(str), pa.string()), *[pa.array(x[:, i], pa.float64()) for i in range(3)], none, none], ["q", "s", "coarse", "fine", "cell", "n"])
+        none = [pa.nulls(len(loads), pa.float64())] * 3
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(loads), pa.string()), *none, pa.array(list(loads), pa.int64()), pa.array(list(loads.values()), pa.int64())], ["q", "s", "coarse", "fine", "cell", "n"])
+
     from weftline.llm.topn import top_n
 
-    margins = np.array([r.margin for r in top_n(best.withColumn("i", F.col("margin").cast("string")), "q", "s", "i", k + 1, keep=["margin"]).where("rank > 1").select("margin").collect()])
-    return float(np.quantile(margins, recall)) + 1e-6 if len(margins) else 2.0
+    answers = cut_lineage(rows.select("vec").mapInArrow(work, "q string, s double, coarse double, fine double, cell long, n long"))
+    loads = answers.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > large).collect()
+    # The best is the query itself, whose margins are zero.
+    ranked = top_n(answers.where("q IS NOT NULL").withColumn("i", F.concat_ws("|", "coarse", "fine")), "q", "s", "i", k + 1, keep=["coarse", "fine"]).where("rank > 1")
+    gaps = np.array([(r.coarse, r.fine) for r in ranked.select("coarse", "fine").collect()])
+    if len(gaps):
+        for share in np.linspace(recall, (1 + recall) / 2, 11):  # the least at which enough lie within both
+            margins = np.maximum(np.quantile(gaps, share, axis=0), 0) + 1e-6
+            if (gaps <= margins).all(1).mean() >= recall:
+                break
+        cells.margins = tuple(margins.tolist())
+    return [(r.cell, r.n) for r in loads]
+
+
+def _directions(dim: int):
+    """Adds ``h``: equal for vectors of one direction, whose cosine is 1 to six decimals whatever the dimension."""
+    grid = np.float64(8e-4) / np.sqrt(dim)  # vectors of one grid cell are at most 8e-4 apart
+
+    def work(batches):
+        for batch in batches:
+            vecs = _matrix(batch.column("vec"), dim).astype(np.float64)
+            vecs /= np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-300)
+            steps = np.ascontiguousarray(np.floor(vecs / grid).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_row_hash(steps), pa.int64())], [*batch.schema.names, "h"])
+
+    return work
+
 
+def _row_hash(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of integers."""
+    h = np.full(len(rows), 0x9E3779B97F4A7C15, np.uint64)
+    for j in range(rows.shape[1]):
+        h ^= rows[:, j].astype(np.int64).view(np.uint64)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
 
-def _set_copies_aside(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None, int]:
-    """Leave k + 1 members of every large class of equal vectors in the index.
 
-    Gives the rows to index, ``(id, rep)`` of the others if there are any, and the number of rows.
+def _set_copies_aside(rows: DataFrame, k: int, dim: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """Leave k + 1 members of every large class of vectors of one direction in the index.
+
+    Gives the rows to index, the neighbours of the others if there are any, and the number of rows.
     """
-    keyed = rows.select("id", F.xxhash64("vec").alias("h"))
+    from weftline.llm.topn import top_n
+
+    keyed = rows.mapInArrow(_directions(dim), "id string, vec array<float>, h long").select("id", "h")
     classes = keyed.groupBy("h").count()
     n, found = classes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > COPIES_MAX)).first()
     if not found:
         return rows, None, n
     large = classes.where(F.col("count") > COPIES_MAX).select("h")
-    from weftline.llm.topn import top_n
-
     large = F.broadcast(large) if found <= 10_000 else large
     members = keyed.join(large, "h").distinct()
     first = top_n(members.withColumn("s", F.lit(0.0)), "h", "s", "id", k + 1).groupBy("h").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    first = cut_lineage(first.where(F.size("ids") > k))  # fewer ids than k + 1: one record many times
     first = F.broadcast(first) if found <= 10_000 else first
-    joined = rows.withColumn("h", F.xxhash64("vec")).join(first, "h", "left")
+    joined = rows.mapInArrow(_directions(dim), "id string, vec array<float>, h long").join(first, "h", "left")
     spare = F.col("ids").isNotNull() & ~F.array_contains("ids", F.col("id"))
-    return joined.where(~spare).select("id", "vec"), joined.where(spare).select("id", F.col("ids")[0].alias("rep")).distinct(), n
-
-
-def _copies_neighbours(copies: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    lists = found.groupBy(F.col("id").alias("rep")).agg(F.collect_list(F.struct((-F.col("similarity")).alias("d"), F.col("neighbour").alias("n"))).alias("c"))
-    own = F.array(F.struct(F.lit(-1.0).alias("d"), F.col("rep").alias("n")))
-    merged = copies.join(lists, "rep").select("id", F.inline(F.slice(F.array_sort(F.concat("c", own)), 1, k)))
-    return merged.select("id", F.col("n").alias("neighbour"), (-F.col("d")).alias("similarity"))
+    copies = joined.where(spare).select("id", F.explode(F.slice("ids", 1, k)).alias("neighbour"), F.lit(1.0).alias("similarity")).distinct()
+    return joined.where(F.col("ids").isNull() | F.array_contains("ids", F.col("id"))).select("id", "vec"), copies, n
 
 
 def neighbour_pairs(found: DataFrame) -> DataFrame:
