@@ -102,15 +102,24 @@ def test_streams(spark, small, tmp_path):
     assert last.agg(F.sum("n")).first()[0] == batch.agg(F.sum("n")).first()[0]
 
     edges = tmp_path / "edges"
-    spark.read.parquet(f"{small}/edges.parquet").repartition(3).write.parquet(str(edges))
-    s = spark.readStream.schema(spark.read.parquet(str(edges)).schema).option("maxFilesPerTrigger", 1).parquet(str(edges))
+    rows = spark.read.parquet(f"{small}/edges.parquet")
+    rows.unionByName(rows).repartition(3).write.parquet(str(edges))  # every row is delivered twice, in any batch
+    s = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(edges))
 
-    def deltas(df):
-        return orphans.reference_deltas(orphans.references(orphans.ReferenceSet("edges", df, "id", "created_at", ("source", "target"))))
+    def refs(df):
+        return orphans.references(orphans.ReferenceSet("edges", df, "id", "created_at", ("source", "target")))
 
-    q = s.writeStream.foreachBatch(incremental.orphan_state_writer(str(tmp_path / "state"), deltas)).option("checkpointLocation", str(tmp_path / "cp")).start()
+    base = str(tmp_path / "orphans")
+    q = s.writeStream.foreachBatch(incremental.orphan_state_writer(base, refs)).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    keys = {r.key for r in incremental.latest_state(spark, str(tmp_path / "state")).collect()}
-    whole = deltas(spark.read.parquet(f"{small}/edges.parquet"))
-    assert keys == {r.key for r in whole.select("key").distinct().collect()}
+    whole = orphans.apply_deltas(orphans.reference_deltas(refs(rows)))
+    assert {tuple(r) for r in incremental.latest_state(spark, base).collect()} == {tuple(r) for r in whole.collect()}
+    assert {tuple(r) for r in incremental.known_references(spark, base).collect()} == {tuple(r) for r in refs(rows).select(*orphans.REFERENCE, "ref_time").collect()}
+    concept = spark.read.parquet(f"{small}/concept.parquet").select(F.col("concept_id").alias("key"), F.col("loaded_at").alias("loaded"), F.col("deleted_at").alias("deleted"))
+    write = incremental.orphan_state_writer(base, records=lambda df: df)
+    for n in (3, 4, 4):  # the last is tried again
+        write(concept.where(f"deleted IS {'NOT' if n == 4 else ''} NULL"), n)
+    state = incremental.latest_state(spark, base)
+    full = orphans.apply_deltas(whole, orphans.existence(concept, "key", "loaded", "deleted"))
+    assert {tuple(r) for r in state.collect()} == {tuple(r) for r in full.collect()}

@@ -38,6 +38,40 @@ def test_orphans(spark):
     assert orphans.orphan_report(empty, orphans.apply_deltas(orphans.reference_deltas(empty))).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_orphans_in_batches(spark, seed):
+    """Loads, deletions and deliveries again, split and ordered at random, give what all at once give."""
+    rnd = random.Random(seed)
+    keys = [f"K{i}" for i in range(12)]
+    con = [(rnd.choice(keys), T0 + rnd.randrange(60) * DAY, T0 if rnd.random() < 0.3 else None) for _ in range(25)]
+    con += con[:6]
+    ends = [(keys[i % 12], rnd.choice([*keys, "GONE", None])) for i in range(40)]
+    edges = [(f"{s}-{t}", s, t, T0 + rnd.randrange(60) * DAY if rnd.random() < 0.9 else None) for s, t in ends]
+    edges += [(*e[:3], T0) for e in edges[:5]] + edges[5:10]
+    rnd.shuffle(con)
+    rnd.shuffle(edges)
+    con_type, edge_type = "concept_id string, loaded_at timestamp_ntz, deleted_at timestamp_ntz", "id string, source string, target string, created_at timestamp_ntz"
+
+    def refs_of(rows):
+        return orphans.references(orphans.ReferenceSet("edges", spark.createDataFrame(rows, edge_type), "id", "created_at", ("source", "target")))
+
+    def existing(rows, state=None):
+        return orphans.existence(spark.createDataFrame(rows, con_type), "concept_id", "loaded_at", "deleted_at", state)
+
+    whole = orphans.apply_deltas(orphans.reference_deltas(refs_of(edges)), existing(con))
+    expect = {tuple(r) for r in orphans.orphan_report(refs_of(edges), whole).collect()}
+    state = known = None
+    cuts = lambda rows: [0, *sorted(rnd.sample(range(len(rows)), 2)), len(rows)]
+    for (a, b), (x, y) in zip(itertools.pairwise(cuts(edges)), itertools.pairwise(cuts(con))):
+        refs = refs_of(edges[a:b])
+        refs = refs.withColumn("seen", F.lit(False)) if known is None else orphans.news(refs, known)
+        parts = [orphans.reference_deltas(refs), existing(con[x:y], state)]
+        state = spark.createDataFrame(orphans.apply_deltas(*([state] if state is not None else []), *parts).collect(), whole.schema)
+        known = spark.createDataFrame(orphans.earliest(*([known] if known is not None else []), refs).collect(), orphans.earliest(refs).schema)
+    assert {tuple(r) for r in state.collect()} == {tuple(r) for r in whole.collect()}
+    assert {tuple(r) for r in orphans.orphan_report(known, state).collect()} == expect
+
+
 def _brute_forest(parent):
     out = {}
     for n in set(parent) | set(parent.values()):

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.operators import forest, orphans
-from weftline.session import table
+from weftline.session import cut_lineage, table
+
+
+def _all_references(edges: DataFrame, concept: DataFrame) -> DataFrame:
+    return orphans.references(orphans.ReferenceSet("edges", edges, "id", "created_at", ("source", "target"))).unionByName(
+        orphans.references(orphans.ReferenceSet("concept", concept, "concept_id", "loaded_at", ("related_concepts",), array=True))
+    )
 
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All references of the project's tables, and the reference state."""
     concept = table(spark, d, "concept")
-    refs = orphans.references(orphans.ReferenceSet("edges", table(spark, d, "edges"), "id", "created_at", ("source", "target"))).unionByName(
-        orphans.references(orphans.ReferenceSet("concept", concept, "concept_id", "loaded_at", ("related_concepts",), array=True))
-    )
+    refs = _all_references(table(spark, d, "edges"), concept)
     state = orphans.apply_deltas(orphans.reference_deltas(refs), orphans.existence(concept, "concept_id", "loaded_at", "deleted_at"))
     return refs, state
 
@@ -22,6 +27,33 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(*_references(spark, d))
 
 
+BATCHES = 3
+
+
+def p4_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """As ``p4_found``, from a state that is brought up to date batch by batch: the deliveries of one period after another."""
+    state = known = None
+    tables = [(table(spark, d, "edges"), "created_at"), (table(spark, d, "concept"), "loaded_at")]
+    ends = [t.agg(F.min(c), F.max(c)).first() for t, c in tables]
+    lo, hi = min((e[0] for e in ends if e[0]), default=None), max((e[1] for e in ends if e[1]), default=None)
+    for i in range(BATCHES if lo else 1):
+        def part(rows: DataFrame, time: str, i=i) -> DataFrame:
+            if not lo:
+                return rows
+            after, until = (F.lit(lo + (hi - lo) * j / BATCHES) for j in (i, i + 1))
+            inside = ((F.col(time) >= after) if i else F.lit(True)) & ((F.col(time) < until) if i < BATCHES - 1 else F.lit(True))
+            return rows.where(inside | (F.col(time).isNull() & F.lit(i == 0)))
+
+        e, c = (part(t, time) for t, time in tables)
+        refs = _all_references(e, c)
+        refs = orphans.news(refs, known) if known is not None else refs.withColumn("seen", F.lit(False))
+        refs = cut_lineage(refs)
+        parts = [orphans.reference_deltas(refs), orphans.existence(c, "concept_id", "loaded_at", "deleted_at", state)]
+        state = cut_lineage(orphans.apply_deltas(*([state] if state is not None else []), *parts))
+        known = orphans.earliest(*([known] if known is not None else []), refs)
+    return orphans.orphan_report(known, state)
+
+
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     """Orphans per table, month and status."""
     return orphans.orphan_counts(p4_found(spark, d))
@@ -42,6 +74,7 @@ def p6_descendant_counts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p4_found": p4_found,
+    "p4_incremental": p4_incremental,
     "p4_report": p4_report,
     "p6_found": p6_found,
     "p6_descendants": p6_descendants,
@@ -82,6 +115,7 @@ d AS (SELECT unnest(string_split(path, '>')) AS node_id, node_id AS descendant_i
 
 ORACLES = {
     "p4_found": _P4 + "SELECT DISTINCT * FROM st WHERE status IS NOT NULL",
+    "p4_incremental": _P4 + "SELECT DISTINCT * FROM st WHERE status IS NOT NULL",
     "p4_report": _P4 + "SELECT ref_table, period, field, status, count(*) AS orphans, count(DISTINCT ref_id) AS keys FROM (SELECT DISTINCT * FROM st WHERE status IS NOT NULL) GROUP BY ALL",
     "p6_found": _P6 + "SELECT * FROM f",
     "p6_descendants": _P6 + "SELECT node_id, descendant_id, CAST(depth - i + 1 AS INT) AS distance FROM d WHERE i <= depth",
