@@ -229,6 +229,8 @@ def test_mixture(spark):
         if s:
             names[t].add(s.strip().lower().replace("-", "_").replace(" ", "_"))
     uses = Counter(text[r.doc_id] for r in got)
+    own = {i: s.strip().lower().replace("-", "_").replace(" ", "_") for i, _, s in rows if s}
+    assert all(own[r.doc_id] == r.source for r in got)  # a use is named by a document of its source
     most = {"a": 1, "b_x": 3}
     for r in got:
         assert r.source in names[text[r.doc_id]] and uses[text[r.doc_id]] <= most[r.source]
@@ -242,6 +244,9 @@ def test_p9_shares(spark, small):
     rows = queries.p9_shares(spark, small).collect()
     have = sum(r.target_share for r in rows if r.uses)
     total = sum(r.tokens for r in rows)
-    largest = max(r.tokens for r in queries.p9_mixture(spark, small).collect())
+    chosen = queries.p9_mixture(spark, small)
+    largest = max(r.tokens for r in chosen.collect())
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", mixing.source_name("source").alias("own"))
+    assert chosen.join(docs, "doc_id").where("own IS DISTINCT FROM source").count() == 0
     assert all(abs(r.actual_share - (r.target_share / have if r.uses else 0)) < largest / total + 0.01 for r in rows)
     assert all(r.most_uses <= r.max_repeats for r in rows)

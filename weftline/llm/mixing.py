@@ -8,6 +8,7 @@ Copies of one text under several sources make the sources overlap: a text may se
    a token (convex), so nothing is repeated while something unused can serve; a pattern can be used at most as
    often as the strictest of its sources allows. The size of the mixture is the largest at which every source that
    has any text reaches its share, unless it is given.
+   A use is named by the smallest id that the text has in the source it counts for.
 3. Within a pattern texts are ordered by a seeded hash; prefix sums of tokens, in two levels, turn each flow into
    an interval of that order, and a text is used by the source in whose interval its middle lies.
 
@@ -149,8 +150,11 @@ def mixture(documents: DataFrame, mix: DataFrame, size: int | None = None, seed:
     goals = targets(mix)
     s = source_name(source_col)
     rows = documents.where(s.isin(*[g.source for g in goals]) & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), s.alias("s"), F.md5(F.col(text_col)).alias("digest"), token_count(F.col(text_col), tokenizer).alias("n"))
+    # The smallest id of a text in each source; at most SOURCES_MAX columns, so a text of many copies is summed up before the shuffle.
+    own = [F.struct(F.lit(g.source).alias("source"), F.min(F.when(F.col("s") == g.source, F.col("id"))).alias("id")) for g in goals]
     texts = cut_lineage(
-        rows.groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("tokens"), F.array_sort(F.collect_set("s")).alias("pattern"))
+        rows.groupBy("digest").agg(F.max("n").alias("tokens"), F.filter(F.array(*own), lambda x: x["id"].isNotNull()).alias("own"))
+        .withColumn("pattern", F.col("own.source"))
         .withColumn("h", F.xxhash64(F.lit(seed), "digest"))
         .withColumn("bucket", F.shiftrightunsigned("h", 52).cast("int"))
     )
@@ -169,7 +173,8 @@ def mixture(documents: DataFrame, mix: DataFrame, size: int | None = None, seed:
     inside = Window.partitionBy("pattern", "bucket").orderBy("h", "digest").rowsBetween(Window.unboundedPreceding, 0)
     placed = texts.join(bases, ["pattern", "bucket"]).withColumn("middle", F.col("base") + F.sum("tokens").over(inside) - F.col("tokens") / 2)
     used = placed.join(intervals, "pattern").where((F.col("middle") >= F.col("lo")) & (F.col("middle") < F.col("hi")))
-    chosen = used.select(F.col("id").alias(id_col), "source", "use", F.col("tokens").cast("long").alias("tokens"))
+    mine = F.filter("own", lambda x: x["source"] == F.col("source"))[0]["id"]
+    chosen = used.select(mine.alias(id_col), "source", "use", F.col("tokens").cast("long").alias("tokens"))
     goal_rows = spark.createDataFrame([(g.source, g.share, g.repeats) for g in goals], "source string, target_share double, max_repeats int")
     total = chosen.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("uses"), F.max("use").alias("most_uses"))
     report = (
