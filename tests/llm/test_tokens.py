@@ -48,7 +48,7 @@ def test_pieces(text, limit, overlap):
     try:
         p = splitting.Planner(limit, overlap)
         for r in range(0, len(data), 700):
-            table = splitting.range_table(data[max(0, r - splitting.BEFORE) : r], data[r : r + 700], data[r + 700 : r + 700 + splitting.HALO], tok)
+            _, table = splitting.range_table(data[max(0, r - splitting.BEFORE) : r], data[r : r + 700], data[r + 700 : r + 700 + splitting.HALO], tok)
             p.feed(splitting.np.frombuffer(table, splitting.np.uint8).reshape(3, -1))
         out = p.finish()
     finally:
@@ -100,6 +100,20 @@ def test_split_files(spark, tmp_path):
     _check_pieces(load(), big.encode(), [(r.start, r.end, r.tokens, r.shared) for r in rows], 1000, 50)
 
 
+@pytest.mark.parametrize(("part_ranges", "range_bytes"), [(3, 2000), (1, 6000), (50, 2000)])
+@pytest.mark.parametrize("overlap", [0, 50])
+def test_split_files_in_parts(spark, tmp_path, part_ranges, range_bytes, overlap):
+    """A file in many parts, planned side by side, named by its address: pieces follow one another over the seams."""
+    big = (TEXTS[0] + TEXTS[1] + "\n\n" + TEXTS[4]) * 6
+    (tmp_path / "big.txt").write_text(big, encoding="utf-8")
+    rows = splitting.split_files(spark, [f"file://{tmp_path}/big.txt"], 400, overlap, range_bytes=range_bytes, part_ranges=part_ranges).collect()
+    rows.sort(key=lambda r: (r.part, r.piece))
+    assert len({r.part for r in rows}) == -(-len(big.encode()) // (part_ranges * range_bytes))
+    _check_pieces(load(), big.encode(), [(r.start, r.end, r.tokens, r.shared) for r in rows], 400, overlap)
+    shared = [b.shared for b in rows[1:]]
+    assert not overlap and not any(shared) or min(shared) >= 0.5 * overlap and max(shared) <= overlap
+
+
 def test_p10_found(spark, small):
     import duckdb
 

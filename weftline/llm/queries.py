@@ -115,12 +115,13 @@ def p10_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return p10_plan(spark, d).where("piece = 0").select(F.col("id").alias("doc_id"))
+    return p10_plan(spark, d).where("part = 0 AND piece = 0").select(F.col("id").alias("doc_id"))
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces with their text."""
-    return splitting.with_text(table(spark, d, "documents"), p10_plan(spark, d)).withColumnRenamed("id", "doc_id")
+    limit, _ = _limit(spark, d, "piece")
+    return splitting.with_text(table(spark, d, "documents"), p10_plan(spark, d), limit=limit).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {

@@ -7,7 +7,8 @@ A text is never looked at as a whole:
 2. *boundaries*: a worker tokenizes one range and writes a table of its cut points, three bytes each: bytes and
    tokens since the last cut point, and the kind of boundary (paragraph, line, sentence, clause, word, none);
 3. *stitching*: the tables of a text, in order, are prefix-summed and pieces are planned from them alone, with
-   memory for about one piece;
+   memory for about one piece. A text of more than ``PART_RANGES`` ranges is stitched in parts side by side: a part
+   begins at the strongest boundary of its first range, with the overlap before it, and the one before ends there;
 4. *pieces* are taken out of the text (or file) by offset.
 
 Cut points lie between pre-tokens, where the byte-level tokenizers never join bytes, so the tokens of a piece are
@@ -23,13 +24,13 @@ characters for counting, offsets stay true; extra columns are ignored; an empty
 
 from __future__ import annotations
 
-import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ from weftline.llm.tokens import DEFAULT_TOKENIZER, load
 RANGE_BYTES = 1 << 15
 HALO = 1024
 BEFORE = 16
+PART_RANGES = 2048
 LONGEST = 24  # bytes between cut points, at most 255
 SLACK = 16
 #: A piece is cut at the strongest boundary in the last part of its room.
@@ -129,7 +131,7 @@ def boundary_kinds(points: np.ndarray) -> np.ndarray:
 
 
 def _seam(data: bytes, at: int) -> int:
-    """The first safe cut at or after byte ``at`` within the halo, else the first character start."""
+    """The first safe cut at or after byte ``at`` within the halo, after no white space if there is one, else the first character start."""
     lo = at
     while lo < len(data) and lo < at + 4 and data[lo] & 0xC0 == 0x80:
         lo += 1
@@ -142,7 +144,10 @@ def _seam(data: bytes, at: int) -> int:
     points = _codepoints(window.decode("utf-8", "ignore"))
     if len(points) < 2:
         return lo
-    safe = np.flatnonzero(safe_cuts(points))
+    safe = safe_cuts(points)
+    # White space at the end of a text may be one token less than in its midst, so the seam isn't after any if possible.
+    inked = safe & (np.concatenate([[SPACE], _kinds(points)[:-1]]) != SPACE)
+    safe = np.flatnonzero(inked if inked.any() else safe)
     return begin + int(_widths(points)[: safe[0]].sum()) if len(safe) else lo
 
 
@@ -188,9 +193,9 @@ def cut_table(text: str, tok, before: str = "", after: str = "") -> np.ndarray:
 class Planner:
     """Plans the pieces of one text from its cut tables, fed in order; holds about one piece."""
 
-    def __init__(self, limit: int, overlap: int):
-        self.limit, self.overlap = limit, overlap
-        self.bytes = np.zeros(1, np.int64)  # cut points since the piece's start, absolute
+    def __init__(self, limit: int, overlap: int, at: int = 0, part: bool = False):
+        self.limit, self.overlap, self.part = limit, overlap, part
+        self.bytes = np.full(1, at, np.int64)  # cut points since the piece's start, absolute
         self.tokens = np.zeros(1, np.int64)
         self.kinds = np.full(1, PARAGRAPH, np.uint8)
         self.fresh = 0  # tokens already in the piece before
@@ -236,13 +241,23 @@ class Planner:
     def _emit(self, end: int) -> None:
         self.pieces.append((int(self.bytes[0]), int(self.bytes[end]), int(self.tokens[end] - self.tokens[0]), self.fresh))
 
+    def begin(self, tables: np.ndarray, cut: int) -> None:
+        """Start at a cut point of the given tables, with the overlap that lies before it."""
+        step = np.cumsum(tables[:2].astype(np.int64), axis=1)
+        self.bytes = np.concatenate([self.bytes, self.bytes[-1] + step[0]])
+        self.tokens = np.concatenate([self.tokens, step[1]])
+        self.kinds = np.concatenate([np.zeros(1, np.uint8), tables[2]])
+        back = self._back(cut)
+        self.fresh = int(self.tokens[cut] - self.tokens[back])
+        self.bytes, self.tokens, self.kinds = self.bytes[back : cut + 1], self.tokens[back : cut + 1], self.kinds[back : cut + 1]
+
     def drain(self) -> list[tuple[int, int, int, int]]:
         out, self.pieces = self.pieces, []
         return out
 
     def finish(self) -> list[tuple[int, int, int, int]]:
         """(start byte, end byte, tokens, tokens shared with the piece before) of the pieces not drained yet."""
-        if self.total > self.limit:
+        if self.total > self.limit or self.part:
             while self.tokens[-1] - self.tokens[0] > self.limit - (SLACK if self.kinds[0] == NONE else 0):
                 self._cut()
             if self.tokens[-1] - self.tokens[0] > self.fresh:
@@ -257,15 +272,15 @@ def plan(text: str, tok, limit: int, overlap: int = 0) -> list[tuple[int, int, i
     return p.finish()
 
 
-def range_table(head: bytes, body: bytes, tail: bytes, tok) -> bytes:
-    """Cut table of one range: from the first safe seam at or after its start to that of the next range."""
+def range_table(head: bytes, body: bytes, tail: bytes, tok) -> tuple[int, bytes]:
+    """Cut table of one range, from the first safe seam at or after its start to that of the next range, and how far off it begins."""
     data = head + body + tail
     start = _seam(data, len(head)) if head else 0
     end = _seam(data, len(head) + len(body)) if tail else len(data)
     if end <= start:
-        return b""
+        return 0, b""
     text, before, after = data[start:end].decode("utf-8", "replace"), data[:start].decode("utf-8", "ignore"), data[end:].decode("utf-8", "ignore")
-    return cut_table(text, tok, before, after).tobytes()
+    return start - len(head), cut_table(text, tok, before, after).tobytes()
 
 
 def text_ranges(documents: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
@@ -286,71 +301,109 @@ def text_ranges(documents: DataFrame, id_col: str, text_col: str, limit: int) ->
     )
 
 
+def _opened(path: str):
+    """File system and path of a name; any scheme that Arrow knows (file, hdfs, s3, gs) or none."""
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
 def file_ranges(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """``(id, range, start, size)``: the ranges of files, planned from their sizes; read by the workers."""
-    rows = [(p, os.path.getsize(p)) for p in paths]
+    """``(id, range, size)``: the ranges of files, planned from their sizes; read by the workers where the files lie."""
+    rows = []
+    for p in paths:
+        system, name = _opened(p)
+        rows.append((p, system.get_file_info(name).size))
     files = spark.createDataFrame(rows, "id string, size long").where("size > 0")
     return files.select("id", "size", F.explode(F.sequence(F.lit(0), ((F.col("size") - 1) / range_bytes).cast("int"))).alias("range")).repartition("id", "range")
 
 
+def _table_rows(rows, ids, ranges, range_bytes: int, tok) -> pa.RecordBatch:
+    """Rows of ``(id, range, at, table)``; ``rows``: (head, body, tail) of each range."""
+    found = [range_table(h, b, t, tok) for h, b, t in rows]
+    at = [r * range_bytes + off for r, (off, _) in zip(ranges.to_pylist(), found)]
+    return pa.RecordBatch.from_arrays([ids, ranges, pa.array(at, pa.int64()), pa.array([t for _, t in found], pa.binary())], ["id", "range", "at", "table"])
+
+
 def boundary_tables(ranges: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """``(id, range, table)`` from ranges with their bytes."""
+    """``(id, range, at, table)`` from ranges with their bytes; ``at``: where the table begins."""
     kind = dict(ranges.dtypes)["id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(tokenizer)
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("head", "body", "tail")]
-            tables = [range_table(h, b, t, tok) for h, b, t in zip(*cols)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("range"), pa.array(tables, pa.binary())], ["id", "range", "table"])
+            yield _table_rows(zip(*(batch.column(c).to_pylist() for c in ("head", "body", "tail"))), batch.column("id"), batch.column("range"), RANGE_BYTES, tok)
 
-    return ranges.mapInArrow(work, f"id {kind}, range int, table binary")
+    return ranges.mapInArrow(work, f"id {kind}, range int, at long, table binary")
 
 
 def file_boundary_tables(ranges: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """As :func:`boundary_tables` for files: each worker seeks to its range; no file is read as a whole."""
 
+    def read(path: str, r: int) -> tuple[bytes, bytes, bytes]:
+        system, name = _opened(path)
+        with system.open_input_file(name) as f:
+            f.seek(max(0, r * range_bytes - BEFORE))
+            head = f.read(BEFORE) if r else b""
+            return head, f.read(range_bytes), f.read(HALO)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(tokenizer)
         for batch in batches:
-            tables = []
-            for path, r in zip(batch.column("id").to_pylist(), batch.column("range").to_pylist()):
-                start = r * range_bytes
-                with open(path, "rb") as f:
-                    f.seek(max(0, start - BEFORE))
-                    head = f.read(BEFORE) if r else b""
-                    tables.append(range_table(head, f.read(range_bytes), f.read(HALO), tok))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("range"), pa.array(tables, pa.binary())], ["id", "range", "table"])
+            rows = (read(p, r) for p, r in zip(batch.column("id").to_pylist(), batch.column("range").to_pylist()))
+            yield _table_rows(rows, batch.column("id"), batch.column("range"), range_bytes, tok)
 
-    return ranges.select("id", "range").mapInArrow(work, "id string, range int, table binary")
+    return ranges.select("id", "range").mapInArrow(work, "id string, range int, at long, table binary")
 
 
-def stitch(tables: DataFrame, limit: int, overlap: int) -> DataFrame:
-    """``(id, piece, start, end, tokens, shared)``: the pieces of every text of more than ``limit`` tokens, in bytes."""
+def part_boundary(table: np.ndarray) -> int:
+    """The cut point of a part's first range at which the part begins: the first of the strongest."""
+    return int(table[2].argmax()) + 1 if table.shape[1] else 0
+
+
+def stitch(tables: DataFrame, limit: int, overlap: int, part_ranges: int = PART_RANGES) -> DataFrame:
+    """``(id, part, piece, start, end, tokens, shared)``: the pieces of every text of more than ``limit`` tokens, in bytes.
+
+    Pieces are numbered within parts; a text of at most ``part_ranges`` ranges is one part.
+    """
     kind = dict(tables.dtypes)["id"]
+    names = ["id", "part", "piece", "start", "end", "tokens", "shared"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, planner, no, out = None, None, 0, []
+        types, out = None, []
+        current, planner, no, before = None, None, 0, []
 
-        def take(pieces):
+        def take(found):
             nonlocal no
-            for p in pieces:
-                out.append((current, no, *p))
+            for p in found:
+                out.append((*current, no, *p))
                 no += 1
 
         def batch_of(rows):
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "piece", "start", "end", "tokens", "shared"])
+            cols = list(zip(*rows)) if rows else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-        types = None
         for batch in batches:
-            types = types or [batch.column("id").type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            for key, table in zip(batch.column("id").to_pylist(), batch.column("table").to_pylist()):
-                if planner is None or key != current:
+            types = types or [batch.column("id").type, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            for key, part, r, at, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "part", "range", "at", "table"))):
+                table = np.frombuffer(raw, np.uint8).reshape(3, -1)
+                if (key, part) != current:
                     if planner is not None:
                         take(planner.finish())
-                    current, planner, no = key, Planner(limit, overlap), 0
-                planner.feed(np.frombuffer(table, np.uint8).reshape(3, -1))
+                    current, planner, no, before = (key, part), None, 0, []
+                if r < part * part_ranges:  # before the part: for the overlap
+                    before.append((at, table))
+                    continue
+                if planner is None:
+                    start = before[0][0] if before else at
+                    planner = Planner(limit, overlap, start, part > 0)
+                    if part:
+                        cut = part_boundary(table)
+                        lead = np.concatenate([*(t for _, t in before), table], axis=1)
+                        ahead = sum(t.shape[1] for _, t in before)
+                        planner.begin(lead[:, : ahead + cut], ahead + cut)
+                        table = table[:, cut:]
+                elif r >= (part + 1) * part_ranges:  # up to where the next part begins
+                    table, planner.part = table[:, : part_boundary(table)], True
+                planner.feed(table)
                 take(planner.drain())
             if out:
                 yield batch_of(out)
@@ -359,8 +412,14 @@ def stitch(tables: DataFrame, limit: int, overlap: int) -> DataFrame:
             take(planner.finish())
             yield batch_of(out)
 
-    ordered = tables.where(F.col("id").isNotNull()).repartition("id").sortWithinPartitions("id", "range")
-    return ordered.mapInArrow(work, f"id {kind}, piece int, start long, end long, tokens int, shared int")
+    last = 1 + overlap * 16 // RANGE_BYTES  # ranges before a part, for its overlap
+    own = lambda r: (r / part_ranges).cast("int")
+    r = F.col("range")
+    # Its own part, the next one if it lies just before it, and the one before if it is the first of a part.
+    parts = F.array_distinct(F.array(own(r), own(r + last), F.greatest(F.lit(0), own(r - F.lit(1)))))
+    placed = tables.where(F.col("id").isNotNull()).withColumn("part", F.explode(parts))
+    ordered = placed.repartition("id", "part").sortWithinPartitions("id", "part", "range")
+    return ordered.mapInArrow(work, f"id {kind}, part int, piece int, start long, end long, tokens int, shared int")
 
 
 def split_documents(documents: DataFrame, limit: int, overlap: int, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
@@ -368,14 +427,17 @@ def split_documents(documents: DataFrame, limit: int, overlap: int, id_col: str
     return stitch(boundary_tables(text_ranges(documents, id_col, text_col, limit), tokenizer), limit, overlap)
 
 
-def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    return stitch(file_boundary_tables(file_ranges(spark, paths), tokenizer), limit, overlap)
+def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int, tokenizer: str = DEFAULT_TOKENIZER, range_bytes: int = RANGE_BYTES, part_ranges: int = PART_RANGES) -> DataFrame:
+    return stitch(file_boundary_tables(file_ranges(spark, paths, range_bytes), tokenizer, range_bytes), limit, overlap, part_ranges)
+
 
+def with_text(documents: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 0) -> DataFrame:
+    """The pieces with their text, cut out by byte offset; one small row per text is joined, not one per piece.
 
-def with_text(documents: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces with their text, cut out by byte offset; one small row per text is joined, not one per piece."""
-    per = pieces.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("piece", "start", "end", "tokens", "shared"))).alias("p"))
-    texts = documents.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("_b"))
+    Texts of at most ``limit`` bytes have no pieces and aren't moved.
+    """
+    per = pieces.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part", "piece", "start", "end", "tokens", "shared"))).alias("p"))
+    texts = documents.where(F.octet_length(text_col) > limit).select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("_b"))
     cut = texts.join(per, "id").select("id", "_b", F.inline("p"))
     body = F.decode(F.substring("_b", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), "UTF-8")
-    return cut.select("id", "piece", "start", "end", "tokens", "shared", body.alias("text"))
+    return cut.select("id", "part", "piece", "start", "end", "tokens", "shared", body.alias("text"))
