@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import normalize_text  # noqa: F401
 from weftline.operators import dedup, forest, graph, hierarchy, maintain, orphans, ranking
+from weftline.session import cut_lineage
 
 T0 = dt.datetime(2024, 1, 15)
 DAY = dt.timedelta(days=1)
@@ -168,6 +169,18 @@ def test_merges_in_order(spark, seed):
     assert all(r.source != r.target and not {r.source, r.target} & set(expect) for r in ends)
 
 
+def test_long_chains_of_merges(spark, monkeypatch):
+    """Each pair of a chain hangs on the one before it: they are decided in logarithmic steps."""
+    cuts = []
+    monkeypatch.setattr(maintain, "cut_lineage", lambda df: cuts.append(1) or cut_lineage(df))
+    n = 300
+    pairs = [(i, f"N{i:03d}", f"N{i + 1:03d}") for i in range(n)] + [(n + i, f"N{3 * i:03d}", f"N{2 * i + 1:03d}") for i in range(40)]
+    have = spark.createDataFrame([(f"N{i:03d}",) for i in range(n + 1)], "id string")
+    m = maintain.greedy_map(spark.createDataFrame(pairs, "ord int, a string, b string"), have)
+    assert {r.gone: r.kept for r in m.collect()} == _brute_merge(pairs, {f"N{i:03d}" for i in range(n + 1)})
+    assert len(cuts) < 40
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.6, 0.8])
 def test_similar_names_is_exact(spark, threshold):
     rnd = random.Random(5)

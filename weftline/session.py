@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +31,14 @@ def get_spark(master: str = "local[*]", partitions: int = 8, app: str = "weftlin
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; make a local one only where none is set (tests)."""
+    """Use the folder named in ``spark.checkpoint.dir``; on one machine (tests) a local one is made where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
