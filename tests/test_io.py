@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import coverage, graph, orphans, ranking, reports
@@ -54,7 +55,30 @@ def test_documents(spark, tmp_path):
     (tmp_path / "t.html").write_text("<html><head><title>old</title></head><body>/* data:begin */fetch()/* data:end */</body></html>")
     writers.export_html(str(tmp_path / "t.html"), str(tmp_path / "o.html"), "new", nodes=n)
     page = (tmp_path / "o.html").read_text()
-    assert "<title>new</title>" in page and "fetch" not in page and "SCS-0001" in page
+    assert "<title>new</title>" in page and "fetch()" not in page and "SCS-0001" in page
+    # A page that fetches its documents keeps its code; the calls are answered from the page.
+    (tmp_path / "f.html").write_text("<html><head><title>Graph</title></head><body><script>fetch('../graph.json').then(show)</script></body></html>")
+    writers.export_html(str(tmp_path / "f.html"), str(tmp_path / "g.html"), graph={"nodes": n, "edges": r.limit(0)})
+    page = (tmp_path / "g.html").read_text()
+    assert "<title>Graph (Standalone)</title>" in page and "fetch('../graph.json').then(show)" in page
+    assert page.index("window.fetch =") < page.index("</head>") and '"graph": {"nodes": [' in page and '"edges": []' in page
+
+
+def test_texts_by_a_program(spark, tmp_path):
+    tool = tmp_path / "tool.sh"
+    tool.write_text("#!/bin/sh\ngrep -q broken \"$1\" && { echo no good >&2; exit 3; }\ntr a-z A-Z < \"$1\"\n")
+    tool.chmod(0o755)
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    for name, content in (("a b.pdf", "hello"), ("c.pdf", "broken"), ("d.txt", "other"), ("e.pdf", "")):
+        (docs / name).write_text(content)
+    good, bad = readers.extract_texts(spark, str(docs), command=(str(tool), "{}"))
+    assert {tuple(r) for r in good.collect()} == {("a_b", "a b.pdf", "HELLO")}
+    assert {tuple(r) for r in bad.collect()} == {("c.pdf", "no good\n")}
+    writers.write_failures(bad, str(tmp_path / "failed"))
+    assert spark.read.json(str(tmp_path / "failed")).count() == 1
+    with pytest.raises(FileNotFoundError):
+        readers.extract_texts(spark, str(docs), command=("no-such-program", "{}"))
 
 
 def test_reports(spark, small):

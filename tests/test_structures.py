@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,3 +297,28 @@ def test_lookup_and_layout(spark):
     assert got == {("b", "a"): ("known", 0.9), ("c", "d"): ("c × d", 0.5)}
     place = cooccurrence.circular_layout(spark.range(4), "id", 4).orderBy("id").collect()
     assert (round(place[0].x), round(place[0].y)) == (580, 250) and (round(place[1].x), round(place[1].y)) == (400, 430)
+
+
+@pytest.mark.parametrize(("threshold", "cells", "block"), [(0.8, None, 4096), (0.3, 7, 20), (0.95, 1, 50), (-1.0, 3, 4096)])
+def test_cosine_pairs_are_complete(spark, threshold, cells, block):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((150, 8))
+    x[100:] = x[:50] * rng.uniform(0.1, 9, (50, 1)) + 0.1 * rng.standard_normal((50, 8))
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(x)] + [(900, None, "x"), (901, [0.0] * 8, "x"), (902, [], "x"), (903, [float("nan")] * 8, "x"), (None, x[0].tolist(), "x")]
+    df = spark.createDataFrame(rows, "id int, vec array<double>, cell string")
+    got = {(r.id_a, r.id_b): r.similarity for r in dedup.cosine_pairs(df, threshold, cells=cells, block=block).collect()}
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    expect = {(i, j) for i, j in itertools.combinations(range(150), 2) if s[i, j] >= threshold}
+    assert set(got) == expect and all(abs(got[p] - s[p]) < 1e-9 for p in got)
+    assert dedup.cosine_pairs(df.limit(0), threshold).count() == 0
+    band = dedup.cosine_pairs(df, threshold, 0.99, cells=cells, block=block).collect()
+    assert {(r.id_a, r.id_b) for r in band} == {p for p in expect if s[p] < 0.99}
+
+
+def test_embeddings(spark):
+    rows = [("A", "規則", "Rule", "x"), ("B", None, None, None), ("C", "", " ", "\u3000"), ("D", None, "ab", None), ("E", "規則", "Rule", "x")]
+    got = {r.id: r.vec for r in dedup.embed(spark.createDataFrame(rows, "concept_id string, jp_name string, en_name string, definition string")).collect()}
+    assert len(got) == 5 and all(len(v) == 64 for v in got.values())
+    assert got["A"] == got["E"] and got["B"] == got["C"] and sum(got["B"]) == len("unknown") - 2 and sum(got["D"]) == 1

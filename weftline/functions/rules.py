@@ -62,6 +62,13 @@ TIERS = ("移転推奨", "条件付き移転可能", "移転非推奨")
 CONDITIONS = (("High", "Full", "Med", "Partial", "Soft"), ("Med", "Partial", "High", "Full", "Med"), ("Low", "None", "Low", "Full", "Hard"))
 RESEARCH_QUESTIONS = {"RQ1": ("ガバナンス", "データフロー", "インセンティブ", "官民"), "RQ2": ("企業", "融資", "コスト", "リスク", "便益"), "RQ3": ("透明性", "救済", "日本", "移転")}
 
+#: Recommendations by condition: levels, keywords for and against, or by private parties.
+RECOMMEND = [
+    ("High", "Full", ("修復", "救済", "訂正", "回復"), ("連合懲戒", "制限", "blacklist"), False),
+    ("Med", "Partial", None, None, True),
+    ("Low", "None", ("懲戒", "制裁", "制限", "禁止"), ("透明", "公開", "救済"), False),
+]
+
 
 def _has_axis(axes: Column, name: str) -> Column:
     return F.coalesce(F.array_contains(axes, name), F.lit(False))

@@ -64,6 +64,14 @@ def first_keyword(text: Column | str, keywords, fold_case: bool = True) -> Colum
     return F.coalesce(*[F.when(text.contains(k.lower() if fold_case else k), F.lit(k)) for k in keywords])
 
 
+#: Characters of a definition kept with candidates, in reports and in lists.
+SHOWN_LENGTHS = {"stored": 200, "reported": 100, "listed": 80}
+
+
+def truncate(c: Column | str, n: int) -> Column:
+    return F.substring(_c(c), 1, n)
+
+
 def paragraphs(text: Column | str, separator: str = r"\n\s*\n") -> Column:
     return F.filter(F.transform(F.split(_c(text), separator), strip), lambda x: x != "")
 

@@ -165,6 +165,12 @@ def score_classes(classes: DataFrame, threshold: float, name_least: float) -> Da
     return out.select(F.col("u.id").alias("id_a"), F.col("v.id").alias("id_b"), F.col("u.members").alias("members_a"), F.col("v.members").alias("members_b"), "name_similarity", "definition_similarity", "structural_similarity", "overall", tier.alias("confidence"), tier_action(tier).alias("action"))
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of an array column of one length as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 def cosine_search(vectors: DataFrame, queries: DataFrame, threshold: float, upper: float | None = None) -> DataFrame:
     """``(query, id, similarity)`` of every query against all vectors, in blocks; a query is not its own match.
 
@@ -180,7 +186,7 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, threshold: float, uppe
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         t = part.select("id", "vec").toArrow()
         names = t["id"].to_pylist()
-        mat = np.array(t["vec"].to_pylist(), np.float64) if names else np.zeros((0, 1))
+        mat = _matrix(t["vec"]) if names else np.zeros((0, 1))
         mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
         shared = spark.sparkContext.broadcast((names, mat))
 
@@ -190,7 +196,7 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, threshold: float, uppe
             for batch in batches:
                 if not len(names) or not batch.num_rows:
                     continue
-                x = np.array(batch.column("vec").to_pylist(), np.float64)
+                x = _matrix(batch.column("vec"))
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 for i in range(0, len(x), 1024):
                     s = x[i : i + 1024] @ mat.T
@@ -202,3 +208,151 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, threshold: float, uppe
         one = vectors.select("id", "vec").mapInArrow(work, f"query {kind}, id {kind}, similarity double").where("query <> id")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+CELLS = 1024
+CELL_BLOCK = 4096
+
+
+def cosine_pairs(vectors: DataFrame, threshold: float, upper: float | None = None, cells: int | None = None, block: int = CELL_BLOCK) -> DataFrame:
+    """``(id_a, id_b, similarity)``: all pairs of different ids, the smaller first, with a cosine of at least ``threshold``.
+
+    Complete, by cells: a vector lies in the cell of its nearest pivot (a vector chosen by hash) and meets only cells
+    whose radius leaves room for the angle of the threshold, for angles obey the triangle inequality. Of two cells the
+    smaller visits the larger, so a pair is met once. Cells and visitors are cut into blocks; each pair of blocks is a
+    task of its own. How much is left out depends on the data and the threshold; nothing of the answer is.
+
+    Vectors that are null, empty or zero take no part; all others must have one length. An id has one vector.
+    """
+    spark = vectors.sparkSession
+    v = F.col("vec")
+    rows = vectors.select("id", v.cast("array<float>").alias("vec")).where(F.col("id").isNotNull() & F.exists(v, lambda x: x != 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)))
+    kind = dict(rows.dtypes)["id"]
+    total = rows.count()
+    k = cells or int(max(1, min(CELLS, total**0.5)))
+    picked = rows.orderBy(F.xxhash64(F.lit("pivot"), "id"), "id").limit(k).select("vec").toArrow()["vec"]
+    if not len(picked):
+        return spark.createDataFrame([], f"id_a {kind}, id_b {kind}, similarity double")
+    pivots = _matrix(picked)
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    angle, top = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6, float("inf") if upper is None else upper
+
+    def angles(batch: pa.RecordBatch, pivots: np.ndarray) -> np.ndarray:
+        x = _matrix(batch.column("vec"))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        return np.arccos(np.clip(x @ pivots.T, -1, 1))
+
+    near = spark.sparkContext.broadcast(pivots)
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a = angles(batch, near.value)
+                home = a.argmin(1)
+                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(a[np.arange(len(a)), home])], ["cell", "angle"])
+
+    found = rows.select("vec").mapInArrow(homes, "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect()  # one row a cell
+    radius, load = np.full(len(pivots), -9.0), np.zeros(len(pivots))
+    for r in found:
+        radius[r.cell], load[r.cell] = r.r, r.n
+    known = spark.sparkContext.broadcast((pivots, radius))
+
+    def visits(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pivots, radius = known.value
+        a = angles(batch, pivots)
+        home = a.argmin(1)
+        r, c = np.nonzero((a <= radius + angle) & (np.arange(len(pivots)) > home[:, None]))
+        at = np.arange(len(a))
+        return np.concatenate([at, r]), np.concatenate([home, c]), np.concatenate([np.ones(len(a), bool), np.zeros(len(r), bool)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                c, n = np.unique(visits(batch)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(n, pa.int64())], ["cell", "n"])
+
+    asks = np.zeros(len(pivots))
+    for r in rows.select("vec").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        asks[r.cell] = r.n
+    parts = spark.sparkContext.broadcast([np.maximum(1, -(-x // block)).astype(np.int64) for x in (load, asks)])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, queries = parts.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            salt = batch.column("salt").to_numpy(zero_copy_only=False)
+            r, c, own = visits(batch)
+            out = []
+            # A query goes to every block of the cell, a vector of the cell to every part of the queries.
+            for at, many, mine, role in ((np.arange(len(r)), blocks, queries, np.where(own, 1, 0)), (np.flatnonzero(own), queries, blocks, np.full(len(r), 2))):
+                n = many[c[at]]
+                at = np.repeat(at, n)
+                j = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                m = (salt[r[at]] >> (20 if many is queries else 0)) % mine[c[at]]
+                b, q = (m, j) if many is queries else (j, m)
+                out.append((r[at], c[at], b, q, role[at]))
+            r, c, b, q, role = (np.concatenate(x) for x in zip(*out))
+            take = pa.array(r)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(b, pa.int32()), pa.array(q, pa.int32()), pa.array(role, pa.int32()), batch.column("id").take(take), batch.column("vec").take(take)], ["cell", "block", "part", "role", "id", "vec"])
+
+    def meet(key, group):
+        group = group.combine_chunks()
+        role = group["role"].to_numpy()
+        x = _matrix(group["vec"])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        ids = group["id"].to_pylist()
+        q, m = np.flatnonzero(role < 2), np.flatnonzero(role == 2)
+        a, b, s = [], [], []
+        for i in range(0, len(q), 1024):
+            sim = x[q[i : i + 1024]] @ x[m].T
+            for r, c in zip(*np.nonzero((sim >= threshold) & (sim < top))):
+                u, v = q[i + r], m[c]
+                if role[u] == 0 or ids[u] < ids[v]:
+                    a.append(min(ids[u], ids[v]))
+                    b.append(max(ids[u], ids[v]))
+                    s.append(sim[r, c])
+        return pa.table([pa.array(a, group["id"].type), pa.array(b, group["id"].type), pa.array(s, pa.float64())], ["id_a", "id_b", "similarity"])
+
+    placed = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(1 << 40))).mapInArrow(place, f"cell int, block int, part int, role int, id {kind}, vec array<float>")
+    return placed.groupBy("cell", "block", "part").applyInArrow(meet, f"id_a {kind}, id_b {kind}, similarity double")
+
+
+def embed(concepts: DataFrame, id_col: str = "concept_id", dim: int = 64, gram: int = 3) -> DataFrame:
+    """``(id, vec)``: a vector of each concept's ``jp_name en_name definition``, or of ``unknown`` if all are empty.
+
+    Counts of character n-grams, hashed into ``dim`` places by a polynomial of their code points, so the vectors need no
+    model and are the same everywhere. Any other source of vectors with these two columns does as well.
+    """
+    rows = concepts.select(F.col(id_col).alias("id"), strip(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("jp_name", "en_name", "definition")])).alias("t"))
+    kind = dict(rows.dtypes)["id"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, dim), np.float32)
+            for i, t in enumerate(batch.column("t").to_pylist()):
+                p = np.frombuffer((t or "unknown").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                g = min(gram, len(p))
+                h = np.zeros(len(p) - g + 1, np.int64)
+                for j in range(g):
+                    h = h * 31 + p[j : j + len(h)]
+                out[i] = np.bincount(h % dim, minlength=dim)
+            flat = pa.array(out.ravel(), pa.float32())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim), pa.int32()), flat)], ["id", "vec"])
+
+    return rows.mapInArrow(work, f"id {kind}, vec array<float>")
+
+
+def tiers(pairs: DataFrame, high: float, medium: float, low: float, low_most: int = 50) -> DataFrame:
+    """Pairs of the high and medium tier, and the ``low_most`` best of the low one, with confidence and action."""
+    tier = similarity_tier(F.col("similarity"), high, medium, low)
+    sure = pairs.where(F.col("similarity") >= medium)
+    rest = pairs.where((F.col("similarity") >= low) & (F.col("similarity") < medium)).orderBy(F.col("similarity").desc(), "id_a", "id_b").limit(low_most)
+    return sure.unionByName(rest).withColumn("confidence", tier).withColumn("action", tier_action(tier))
+
+
+def duplicate_report(candidates: DataFrame, concepts: DataFrame, method: str, threshold: float) -> DataFrame:
+    """One row: concepts, candidates, those of each tier, method and threshold."""
+    n = concepts.agg(F.count("*").alias("total_concepts"))
+    c = candidates.agg(F.count("*").alias("candidates"), *[F.count_if(F.col("confidence") == t).alias(t) for t in ("high", "medium", "low")])
+    return n.crossJoin(c).withColumn("method", F.lit(method)).withColumn("threshold", F.lit(threshold))  # one row each

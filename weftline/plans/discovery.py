@@ -105,7 +105,19 @@ def small_doc_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(F.length("text") >= text.DOCUMENT_MIN).select("doc_id", F.length("text").cast("long").alias("chars"))
 
 
-@query()
+_SPACES = r"[\s\x{A0}\x{3000}]+"
+_STRIP = f"regexp_replace(x, '^{_SPACES}|{_SPACES}$', '', 'g')"
+_ITEM = "{'done': []::VARCHAR[], 'cur': []::VARCHAR[], 'n': 0, 't': %s, 'k': %s}"
+_PACK = f"""it AS (SELECT doc_id, flatten(list_transform(list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: {_STRIP}), lambda x: x <> ''),
+        lambda p: CASE WHEN length(p) > {text.CHUNK_SIZE} THEN list_concat([{_ITEM % ("''", "'open'")}], list_transform(string_split(regexp_replace(p, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {_ITEM % ("s", "'s'")}), [{_ITEM % ("''", "'close'")}]) ELSE [{_ITEM % ("p", "'p'")}] END)) AS l FROM documents WHERE length(text) >= {text.DOCUMENT_MIN}),
+    pk AS (SELECT doc_id, list_reduce(list_concat([{_ITEM % ("''", "'p'")}], l, [{_ITEM % ("''", "'open'")}]), lambda s, x: CASE
+        WHEN x.k IN ('open', 'close') THEN {{'done': CASE WHEN len(s.cur) > 0 THEN list_append(s.done, CASE WHEN x.k = 'open' THEN array_to_string(s.cur, '\n\n') ELSE array_to_string(s.cur, ' ') END) ELSE s.done END, 'cur': []::VARCHAR[], 'n': 0, 't': '', 'k': x.k}}
+        WHEN s.n + length(x.t) > {text.CHUNK_SIZE} AND len(s.cur) > 0 THEN {{'done': list_append(s.done, CASE WHEN x.k = 's' THEN array_to_string(s.cur, ' ') ELSE array_to_string(s.cur, '\n\n') END), 'cur': [x.t], 'n': CAST(length(x.t) AS INT), 't': '', 'k': x.k}}
+        ELSE {{'done': s.done, 'cur': list_append(s.cur, x.t), 'n': CAST(s.n + length(x.t) AS INT), 't': '', 'k': x.k}} END).done AS d FROM it),
+    tl AS (SELECT doc_id, list_reduce(list_concat([[]::VARCHAR[]], list_transform(d, lambda c: [c])), lambda a, c: CASE WHEN length(c[1]) < {text.CHUNK_MIN} AND len(a) > 0 THEN list_append(a[:-2], a[-1] || chr(10) || chr(10) || c[1]) ELSE list_concat(a, c) END) AS d FROM pk)"""
+
+
+@query(f"WITH {_PACK} SELECT doc_id, CAST(generate_subscripts(d, 1) - 1 AS INT) AS chunk_index, unnest(d) AS text, length(unnest(d)) AS char_count FROM tl")
 def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
     """Greedy chunks of every document, numbered from 0."""
     docs = table(spark, d, "documents").where(F.length("text") >= text.DOCUMENT_MIN)
@@ -181,7 +193,8 @@ def topk_per_axis(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top_in_group(axis_scores(spark, d), "dominant_axis", [F.col("score").desc(), F.col("id")], 10).select("dominant_axis", "id", "score", "rank")
 
 
-_TRAINED = ", ".join(f"least(1.0, (CASE WHEN list_contains(coalesce(four_axis, []), '{rules.AXES[k]}') THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END) + CASE WHEN {_any(chr(39) * 0 + 'coalesce(definition, ' + chr(39) * 2 + ')', ks)} THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END) AS {k}" for k, ks in rules.TRAIN_AXIS.items())
+_TEXT = "coalesce(definition, '')"
+_TRAINED = ", ".join(f"least(1.0, (CASE WHEN list_contains(coalesce(four_axis, []), '{rules.AXES[k]}') THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END) + CASE WHEN {_any(_TEXT, ks)} THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END) AS {k}" for k, ks in rules.TRAIN_AXIS.items())
 
 
 @query(f"WITH {CON} SELECT id, {_TRAINED} FROM con")
@@ -230,11 +243,7 @@ def label_report(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top_in_group(rows, "label", [F.col("id")], 5).join(n, "label").withColumn("category", F.substring_index("label", "_", 1))
 
 
-_REC = [
-    ("High", "Full", ("修復", "救済", "訂正", "回復"), ("連合懲戒", "制限", "blacklist"), False),
-    ("Med", "Partial", None, None, True),
-    ("Low", "None", ("懲戒", "制裁", "制限", "禁止"), ("透明", "公開", "救済"), False),
-]
+_REC = rules.RECOMMEND
 
 
 def _recommend_sql() -> str:
@@ -579,7 +588,19 @@ def shared_axes_type(spark: SparkSession, d: str) -> DataFrame:
     return gap_hypotheses(spark, d).select("a", "b", "c", "hypothesis_type", "axes")
 
 
-@query()
+def _rq() -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {_any('t', ks)} THEN '{q}' END" for q, ks in rules.RESEARCH_QUESTIONS.items()) + "], lambda x: x IS NOT NULL)"
+
+
+def _text(t: str) -> str:
+    return f"coalesce({t}.jp_name, {t}.en_name, '') || ' ' || array_to_string(coalesce({t}.four_axis, []), ' ') || ' ' || coalesce({t}.definition, '')"
+
+
+@query(
+    _KS + _TOP + f", nm AS (SELECT tp.a, tp.b, tp.c, tp.score, coalesce(x.jp_name, x.en_name, tp.a) AS na, coalesce(y.jp_name, y.en_name, tp.b) AS nb, coalesce(z.jp_name, z.en_name, tp.c) AS nc, {_text('x')} || ' ' || {_text('y')} || ' ' || {_text('z')} AS t FROM tp JOIN con x ON x.id = tp.a JOIN con y ON y.id = tp.b JOIN con z ON z.id = tp.c), "
+    f"rq AS (SELECT *, {_rq()} AS q FROM nm) SELECT rq.a, rq.b, rq.c, score, CASE WHEN len(sh) > 0 THEN '共通軸' WHEN len(br) > 0 THEN '橋渡し' ELSE '探索的' END AS hypothesis_type, array_to_string(CASE WHEN len(sh) > 0 THEN sh ELSE br END, ',') AS axes, "
+    "'「' || na || '」と「' || nc || '」は「' || nb || '」を介して関連する可能性がある。' AS statement, array_to_string(q, ',') AS rq, CASE WHEN len(q) >= 2 THEN 'high' WHEN len(q) >= 1 THEN 'medium' ELSE 'low' END AS priority FROM rq JOIN hy ON hy.a = rq.a AND hy.b = rq.b AND hy.c = rq.c"
+)
 def gap_hypotheses(spark: SparkSession, d: str) -> DataFrame:
     """Hypotheses of the best twenty gaps with statement, research questions and priority."""
     c = concepts(spark, d).select("id", F.coalesce("jp_name", "en_name").alias("name"), "four_axis", "definition")
@@ -670,7 +691,20 @@ def merge_order(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.concat_ws("|", F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "a", "b").alias("ord"), "a", "b")
 
 
-@query()
+_MERGES = f"""mq AS (SELECT {_id('concept_a.id')} AS a, {_id('concept_b.id')} AS b, min(detected_at) AS t FROM merge_candidates WHERE lower(trim(confidence)) = 'high' AND {_enum('action')} = 'merge' GROUP BY 1, 2),
+    mo AS (SELECT a, b, row_number() OVER (ORDER BY concat_ws('|', strftime(t, '%Y-%m-%d %H:%M:%S.%f'), a, b)) AS n FROM mq WHERE a <> b AND a IN (SELECT id FROM con) AND b IN (SELECT id FROM con)),
+    st AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS gone UNION ALL SELECT mo.n, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN gone ELSE list_append(gone, b) END FROM st JOIN mo ON mo.n = st.n + 1),
+    won AS (SELECT a, b FROM mo JOIN st s ON s.n = mo.n JOIN st q ON q.n = mo.n - 1 WHERE len(s.gone) > len(q.gone)),
+    up AS (SELECT b AS gone, a AS kept FROM won UNION ALL SELECT gone, won.a FROM up JOIN won ON won.b = up.kept),
+    mp AS (SELECT gone, kept FROM up WHERE kept NOT IN (SELECT b FROM won))"""
+
+
+@query(
+    f"WITH RECURSIVE {CON}, {_MERGES}, ap AS (SELECT con.*, coalesce(kept, id) AS tgt, kept IS NOT NULL AS g FROM con LEFT JOIN mp ON gone = id), "
+    f"rel AS (SELECT tgt, list_sort(list_distinct(list(r))) AS r FROM (SELECT tgt, coalesce(kept, r) AS r FROM (SELECT tgt, {_id('r')} AS r FROM (SELECT tgt, unnest(related_concepts) AS r FROM ap)) LEFT JOIN mp ON gone = r) WHERE r <> tgt GROUP BY 1), "
+    "ag AS (SELECT tgt, max(CASE WHEN NOT g THEN en_name END) AS en_name, CAST(count(*) FILTER (WHERE g) AS INT) AS merged, array_to_string(list_sort(list_distinct(flatten(list(coalesce(source_papers, []))))), '|') AS source_papers, CAST(least(5, len(list_distinct(flatten(list(coalesce(context_quotes, [])))))) AS INT) AS quotes FROM ap GROUP BY 1) "
+    "SELECT ag.tgt AS id, en_name, merged, source_papers, quotes, coalesce(array_to_string(r, '|'), '') AS related_concepts FROM ag LEFT JOIN rel ON rel.tgt = ag.tgt WHERE merged > 0"
+)
 def merge_apply(spark: SparkSession, d: str) -> DataFrame:
     """Concepts that took up others when the merge list is applied in order."""
     c = concepts(spark, d).select("id", "en_name", "jp_name", "definition", "four_axis", "source_papers", "context_quotes", F.transform("related_concepts", canonical_id).alias("related_concepts"))
@@ -679,7 +713,7 @@ def merge_apply(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "en_name", F.size("merged").alias("merged"), F.array_join("source_papers", "|").alias("source_papers"), F.size("context_quotes").alias("quotes"), F.array_join("related_concepts", "|").alias("related_concepts"))
 
 
-@query()
+@query(f"WITH RECURSIVE {CON}, {EDG}, {_MERGES} SELECT DISTINCT * FROM (SELECT coalesce(x.kept, source) AS source, coalesce(y.kept, target) AS target, type FROM edg LEFT JOIN mp x ON x.gone = source LEFT JOIN mp y ON y.gone = target) WHERE source <> target")
 def merge_redirect(spark: SparkSession, d: str) -> DataFrame:
     """Edges after the merges: ends replaced, loops dropped."""
     m = maintain.greedy_map(merge_order(spark, d), concepts(spark, d).select("id"))

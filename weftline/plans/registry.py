@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import discovery, quality
+from weftline.plans import discovery, outputs, quality
 
-MODULES = (discovery, quality)
+MODULES = (discovery, quality, outputs)
 
 
 def queries() -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, for what is written only to be read again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def ship_path(spark: SparkSession) -> None:
     """Let Python workers import this package where it lies at the same path; a cluster may ship it otherwise."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import shutil
+import subprocess
+import tempfile
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline import schemas
 from weftline.functions.text import sanitize_source_id, stem, strip
+from weftline.session import cut_lineage
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -35,6 +40,36 @@ def read_texts(spark: SparkSession, directory: str) -> DataFrame:
     return raw.select(sanitize_source_id(stem(name)).alias("source_id"), name.alias("source_file"), text.alias("text"))
 
 
+def extract_texts(spark: SparkSession, directory: str, pattern: str = "*.pdf", command: Sequence[str] = ("pdftotext", "-layout", "{}", "-")) -> tuple[DataFrame, DataFrame]:
+    """``(source_id, source_file, text)`` by an external program, and the files it fails on ``(source_file, reason)``.
+
+    Documents are read by Spark from any file system and given to the program one at a time, as a file in the place of
+    ``{}``; what it prints is the text. An empty file is no document. It must be there on every machine; the driver checks its own.
+    """
+    require_tool(command[0])
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory).select(F.url_decode(F.replace(F.regexp_extract("path", r"([^/]*)$", 1), F.lit("+"), F.lit("%2B"))).alias("source_file"), "content")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, reasons = [], []
+            for content in batch.column("content").to_pylist():
+                with tempfile.NamedTemporaryFile() as f:
+                    f.write(content)
+                    f.flush()
+                    try:
+                        done = subprocess.run([f.name if a == "{}" else a for a in command], capture_output=True, timeout=600)
+                        ok, reason = done.returncode == 0, done.stderr.decode("utf-8", "replace")[:200]
+                    except (OSError, subprocess.TimeoutExpired) as e:
+                        ok, reason = False, str(e)[:200]
+                texts.append(done.stdout.decode("utf-8", "ignore") if ok else None)
+                reasons.append(None if ok else reason)
+            yield pa.RecordBatch.from_arrays([batch.column("source_file"), pa.array(texts, pa.string()), pa.array(reasons, pa.string())], ["source_file", "text", "reason"])
+
+    done = cut_lineage(raw.mapInArrow(work, "source_file string, text string, reason string"))  # each document is read once
+    good = done.where("text IS NOT NULL").select(sanitize_source_id(stem("source_file")).alias("source_id"), "source_file", "text")
+    return good, done.where("text IS NULL").select("source_file", "reason")
+
+
 def read_html(spark: SparkSession, directory: str, pattern: str = "*.html") -> DataFrame:
     """``(source_id, source_file, text)`` of HTML files: scripts, styles and tags removed, in the JVM."""
     raw = spark.read.text(f"{directory}/{pattern}", wholetext=True)
@@ -50,6 +85,25 @@ def read_chunks(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.schema(schemas.CHUNK).json(f"{directory}/*/chunk_*.json", multiLine=True)
 
 
+def read_chunk_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks as ``write_chunks`` leaves them, one folder to a source."""
+    return spark.read.schema(schemas.CHUNK).json(path)
+
+
+def read_newest(spark: SparkSession, base: str) -> DataFrame:
+    """The newest version that ``write_version`` wrote under a folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/version=*")
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    if not found:
+        raise FileNotFoundError(base)
+    return spark.read.parquet(max(f.getPath().toString() for f in found))
+
+
+def read_stored_document(spark: SparkSession, path: str, list_name: str, schema: str, metadata: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and metadata that ``write_document`` wrote."""
+    return spark.read.schema(schema).json(f"{path}/{list_name}"), spark.read.schema(metadata).json(f"{path}/metadata")
+
+
 def _with_folder(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     df = spark.read.schema(f"{schema}, _corrupt STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(pattern, multiLine=True)
     return df.withColumn("path", F.col("_metadata.file_path")).withColumn("folder", F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)).withColumn("file", F.regexp_extract("path", r"([^/]*)$", 1))

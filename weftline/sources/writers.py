@@ -41,21 +41,31 @@ def write_failures(bad: DataFrame, path: str) -> None:
     bad.write.mode("append").json(path)
 
 
-def export_html(template: str, out: str, title: str, **tables: DataFrame) -> None:
-    """A standalone page: the tables as JSON in a script before ``</head>``, fetch calls dropped, the title replaced.
+def export_html(template: str, out: str, title: str | None = None, **documents: DataFrame | dict[str, DataFrame]) -> None:
+    """A standalone page: what it fetches as ``<name>.json`` comes out of the page, and its title says so.
 
+    A document is a list of rows, or an object of several. The data go into a script before ``</head>`` that answers
+    the page's own ``fetch`` calls for these names, so the page's code stays as it is; ``window.DATA`` has them as well.
     A page is for people to look at: more than ``PAGE_ROWS`` rows of a table are refused.
     """
-    data = {}
-    for name, df in tables.items():
-        rows = df.toJSON().take(PAGE_ROWS + 1)
-        if len(rows) > PAGE_ROWS:
+
+    def rows(name: str, df: DataFrame) -> list:
+        found = df.toJSON().take(PAGE_ROWS + 1)
+        if len(found) > PAGE_ROWS:
             raise ValueError(f"{name}: more than {PAGE_ROWS} rows for one page")
-        data[name] = [json.loads(r) for r in rows]
+        return [json.loads(r) for r in found]
+
+    data = {n: {k: rows(f"{n}.{k}", x) for k, x in v.items()} if isinstance(v, dict) else rows(n, v) for n, v in documents.items()}
     with open(template, encoding="utf-8") as f:
         page = f.read()
-    script = f"<script>window.DATA = {json.dumps(data, ensure_ascii=False).replace('</', '<' + chr(92) + '/')};</script>\n"
-    page = re.sub(r"<title>.*?</title>", lambda _: f"<title>{title}</title>", page, flags=re.S)
+    script = (
+        f"<script>window.DATA = {json.dumps(data, ensure_ascii=False).replace('</', '<' + chr(92) + '/')};\n"
+        "(() => { const net = window.fetch; window.fetch = (url, ...rest) => {\n"
+        "  const name = String(url).split('/').pop().replace(/\\.json.*$/, '');\n"
+        "  return name in window.DATA ? Promise.resolve(new Response(JSON.stringify(window.DATA[name]))) : net(url, ...rest);\n"
+        "}; })();</script>\n"
+    )
+    page = re.sub(r"<title>(.*?)</title>", lambda m: f"<title>{title or m[1] + ' (Standalone)'}</title>", page, flags=re.S)
     page = re.sub(r"(?s)/\* data:begin \*/.*?/\* data:end \*/", "const data = window.DATA;", page)
     page = page.replace("</head>", script + "</head>", 1)
     os.makedirs(os.path.dirname(os.path.abspath(out)), exist_ok=True)
