@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 
-from weftline.llm.survivorship import PLACEHOLDERS
+#: Values that say nothing, stated here apart from the operator's own list.
+PLACEHOLDERS = (
+    "n/a", "na", "n.a", "nan", "nil", "none", "null", "unknown", "undefined", "missing", "empty", "tbd", "tba", "todo", "not available", "not applicable", "to be determined", "to be defined", "unspecified", "pending", "xxx",
+    "不明", "なし", "無し", "無", "未記入", "未入力", "未定", "未設定", "該当なし", "記載なし", "未詳", "不詳", "空欄", "ｎ／ａ",
+    "无", "未知", "不详", "暂无", "待定", "未填写", "未填", "没有", "待补充", "空",
+)
 
 _SPACE = "' ' || chr(9) || chr(13) || chr(10) || chr(160) || chr(12288)"
 
@@ -51,6 +56,14 @@ r AS (SELECT n.group_id, v.field, v.id, row_number() OVER (PARTITION BY v.g, v.f
 SELECT group_id, field, id AS concept_id FROM r WHERE rank = 1
 """
 
+def _kept(c: str) -> str:
+    return f"array_to_string(list_sort(list_distinct(list_filter(list_transform(coalesce({c}, []), lambda x: {_trim('x')}), lambda y: y IS NOT NULL AND {_usable('y')}))), '|')"
+
+
+_P1_TEXTS = _P1.replace("SELECT group_id, field, id AS concept_id FROM r WHERE rank = 1", f"""
+, w AS (SELECT r.group_id, r.field, r.id, {_trim('definition')} AS definition, {_kept('four_axis')} AS four_axis, {_kept('context_quotes')} AS context_quotes, {_kept('source_papers')} AS source_papers FROM r JOIN one ON one.id = r.id WHERE r.rank = 1)
+SELECT n.group_id, """ + ", ".join(f"max(CASE WHEN field = '{f}' THEN w.id END) AS {f}_from, max(CASE WHEN field = '{f}' THEN w.{f} END) AS {f}" for f in ("definition", "four_axis", "context_quotes", "source_papers")) + " FROM n LEFT JOIN w ON w.group_id = n.group_id GROUP BY 1")
+
 _P2 = f"""
 WITH cur AS (SELECT key, {_id('concept_b')} AS concept_b, score, row_number() OVER (PARTITION BY key ORDER BY generated_at DESC, score DESC NULLS LAST) AS rn
              FROM gaps WHERE key IS NOT NULL),
@@ -67,6 +80,7 @@ SELECT x AS concept_id, min(y) AS group_id FROM reach GROUP BY x
 
 ORACLES = {
     "p1_found": _P1,
+    "p1_survivor_texts": _P1_TEXTS,
     "p2_found": _P2 + "SELECT concept_b, key FROM r WHERE rank <= 5",
     "p2_top_gaps": _P2 + "SELECT concept_b, score, key, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5",
     "p7_found": _P7,

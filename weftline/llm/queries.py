@@ -30,6 +30,12 @@ def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivorship.survivors(_groups(spark, d), ATTRIBUTES)
 
 
+def p1_survivor_texts(spark: SparkSession, d: str) -> DataFrame:
+    """As ``p1_survivors``, the entries of arrays sorted and joined."""
+    rows = p1_survivors(spark, d)
+    return rows.select(*[F.array_join(F.array_sort(a.name), "|").alias(a.name) if a.array else a.name for a in ATTRIBUTES], "group_id", *[f"{a.name}_from" for a in ATTRIBUTES])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_top_gaps(spark, d).select("concept_b", "key")
 
@@ -127,6 +133,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_survivors": p1_survivors,
+    "p1_survivor_texts": p1_survivor_texts,
     "p2_found": p2_found,
     "p2_top_gaps": p2_top_gaps,
     "p3_found": p3_found,
