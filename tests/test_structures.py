@@ -322,3 +322,26 @@ def test_embeddings(spark):
     got = {r.id: r.vec for r in dedup.embed(spark.createDataFrame(rows, "concept_id string, jp_name string, en_name string, definition string")).collect()}
     assert len(got) == 5 and all(len(v) == 64 for v in got.values())
     assert got["A"] == got["E"] and got["B"] == got["C"] and sum(got["B"]) == len("unknown") - 2 and sum(got["D"]) == 1
+
+
+def test_mentions_agree(spark, small):
+    """The automaton and the joins on rare characters find the same."""
+    from weftline.plans import discovery
+
+    c = discovery.concepts(spark, small)
+    names = c.select("id", F.explode(F.array("en_name", "jp_name", "zh_name")).alias("name")).where("name IS NOT NULL")
+    names = names.unionByName(spark.createDataFrame([("X1", "credit"), ("X2", "Credit "), ("X3", "abc"), ("X4", None), ("X5", "信用評価の")], "id string, name string"))
+    texts = c.select("id", F.col("definition").alias("text")).unionByName(spark.createDataFrame([("T1", "CREDIT and 信用評価の credit"), ("T2", None), ("T3", ""), ("X2", "credit")], "id string, text string"))
+    one = {tuple(r) for r in maintain.mentions(names, texts).collect()}
+    assert one == {tuple(r) for r in maintain.mentions(names, texts, most=0).collect()} and ("T1", "X2", "credit") in one and ("X2", "X2", "credit") not in one
+    assert maintain.mentions(names.limit(0), texts).count() == 0 and maintain.mentions(names, texts.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_wedges_of_hubs(spark, monkeypatch, block):
+    rnd = random.Random(3)
+    pairs = {tuple(sorted(rnd.sample(range(30), 2))) for _ in range(60)} | {(0, i) for i in range(1, 30)}
+    side = spark.createDataFrame([(a, b) for p in pairs for a, b in (p, p[::-1])], "src int, dst int")
+    got = [(r.p, r.bridge, r.q) for r in graph.wedges(side.join(graph.degrees(side), "src"), block).collect()]
+    near = {b: {x for p in pairs for x in p if b in p} - {b} for b in range(30)}
+    assert sorted(got) == sorted((p, b, q) for b in near for p, q in itertools.combinations(sorted(near[b]), 2))

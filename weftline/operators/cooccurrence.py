@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.graph import adjacency, degrees
+from weftline.operators.graph import adjacency, degrees, wedges
 
 GENERIC_CONFIDENCE = 0.5
 
@@ -32,11 +32,13 @@ def pairs_within(rows: DataFrame, group: str, item: str) -> DataFrame:
     """``(a, b, weight)``: pairs of items that occur in one group, with the number of groups.
 
     Grows with the square of the items of one group, which is meant for groups that are small by nature (a paper's
-    concepts, an order's parts). Items of a group are made distinct first, so repeats cost nothing.
+    concepts, an order's parts); a large one is still cut into blocks, as a hub is. Items of a group are made distinct
+    first, so repeats cost nothing.
     """
     d = rows.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    x, y = d.select("g", F.col("i").alias("a")), d.select("g", F.col("i").alias("b"))
-    return x.join(y, "g").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    side = d.select(F.col("g").alias("src"), F.col("i").alias("dst"))
+    met = wedges(side.join(degrees(side), "src"))
+    return met.groupBy(F.col("p").alias("a"), F.col("q").alias("b")).agg(F.count("*").alias("weight"))
 
 
 def unlinked_pairs(pairs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -45,9 +47,8 @@ def unlinked_pairs(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     ``sources``: (key, size, mark) of :func:`set_marks`. Pairs with equal source sets are left out.
     """
     adj = adjacency(pairs)
-    x = adj.select(F.col("src").alias("m"), F.col("dst").alias("a"))
-    y = adj.select(F.col("src").alias("m"), F.col("dst").alias("c"))
-    common = x.join(y, "m").where("a < c").groupBy("a", "c").agg(F.count("*").alias("bridge_potential"))
+    met = wedges(adj.join(degrees(adj), "src")).select(F.col("p").alias("a"), F.col("q").alias("c"))
+    common = met.groupBy("a", "c").agg(F.count("*").alias("bridge_potential"))
     open_ = common.join(pairs.select("a", F.col("b").alias("c")), ["a", "c"], "left_anti")
     node = degrees(adj).withColumnRenamed("src", "key").join(sources, "key")
     side = lambda e: node.select(F.col("key").alias(e), F.col("degree").alias(f"d{e}"), F.col("size").alias(f"n{e}"), F.col("mark").alias(f"m{e}"))

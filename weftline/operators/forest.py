@@ -48,19 +48,20 @@ def _walk(table: DataFrame) -> DataFrame:
     """Follow ``ptr`` until ``done``. Rows: node, ptr, run, hops, done. Rows still not done at the end are endless."""
     table = cut_lineage(table)
     left = table.where(~F.col("done")).count()
+    ended, open_ = table.where("done"), table.where("NOT done")  # what has ended is written once and only looked up
     while left:
-        done, open_ = table.where("done"), table.where("NOT done")
-        step = table.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("run").alias("run2"), F.col("hops").alias("hops2"), F.col("done").alias("done2"), (F.col("hops") == 0).alias("end"))
+        step = ended.unionByName(open_).select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("run").alias("run2"), F.col("hops").alias("hops2"), F.col("done").alias("done2"), (F.col("hops") == 0).alias("end"))
         moved = open_.join(step, "ptr", "left").select(
             "node", F.col("ptr2").alias("ptr"), F.when(F.col("end"), F.col("run")).otherwise(F.concat_ws(">", "run2", "run")).alias("run"),
             (F.col("hops") + F.col("hops2")).alias("hops"), F.col("done2").alias("done"),
         )
-        table = cut_lineage(done.unionByName(moved))
-        now = table.where(~F.col("done")).count()
+        moved = cut_lineage(moved)
+        ended, open_ = ended.unionByName(moved.where("done")), moved.where("NOT done")
+        now = open_.count()
         if now == left:
             break
         left = now
-    return table
+    return ended.unionByName(open_)
 
 
 def hierarchies(parents: DataFrame, spacing: int = 4) -> DataFrame:

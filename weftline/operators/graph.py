@@ -67,6 +67,21 @@ def isolated(node_ids: DataFrame, adj: DataFrame, related: DataFrame | None = No
     return node_ids.join(touched, "id", "left_anti")
 
 
+WEDGE_BLOCK = 1_000
+
+
+def wedges(side: DataFrame, block: int = WEDGE_BLOCK) -> DataFrame:
+    """``(p, bridge, q, degree)``, p < q: all pairs of neighbours of every node of ``side(src, dst, degree)``.
+
+    The pairs of a hub are its degree squared; its neighbours are cut into blocks that meet all the others one block at
+    a time, so no task has more than ``block`` times a hub's degree.
+    """
+    parts = F.ceil(F.col("degree") / block).cast("int")
+    x = side.select(F.col("src").alias("bridge"), F.col("dst").alias("p"), "degree", F.pmod(F.xxhash64("dst"), parts).cast("int").alias("part"))
+    y = side.select(F.col("src").alias("bridge"), F.col("dst").alias("q"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return x.join(y, ["bridge", "part"]).where(F.col("p") < F.col("q")).select("p", "bridge", "q", "degree")
+
+
 def gaps(pairs: DataFrame, hub_threshold: int | None = None) -> DataFrame:
     """``(a, b, c, degree)``: unlinked A, C (A < C) over every bridge B; hubs are no bridges if a threshold is given."""
     adj = adjacency(pairs)
@@ -74,10 +89,8 @@ def gaps(pairs: DataFrame, hub_threshold: int | None = None) -> DataFrame:
     side = adj.join(deg, "src")
     if hub_threshold is not None:
         side = side.where(F.col("degree") <= hub_threshold)
-    x = side.select(F.col("src").alias("bridge"), F.col("dst").alias("p"), "degree")
-    y = side.select(F.col("src").alias("bridge"), F.col("dst").alias("q"))
-    wedges = x.join(y, "bridge").where(F.col("p") < F.col("q")).select(F.col("p").alias("a"), F.col("bridge").alias("mid"), F.col("q").alias("b"), "degree")
-    open_ = wedges.join(pairs, ["a", "b"], "left_anti")
+    met = wedges(side).select(F.col("p").alias("a"), F.col("bridge").alias("mid"), F.col("q").alias("b"), "degree")
+    open_ = met.join(pairs, ["a", "b"], "left_anti")
     return open_.select("a", F.col("mid").alias("b"), F.col("b").alias("c"), "degree")
 
 
