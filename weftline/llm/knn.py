@@ -68,11 +68,12 @@ class Cells:
 
     def __init__(self, sample: np.ndarray, cells: int, single: int, dim: int):
         cells = max(1, min(cells, len(sample) // 4) if cells <= single else cells)
-        first = cells if cells <= single else int(np.ceil(np.sqrt(cells)))
+        # Coarse centroids divide better, so there are as many as a vector can be compared with at little cost.
+        first = cells if cells <= single else int(max(np.ceil(np.sqrt(cells)), min(cells, single) // 4))
         self.coarse = fit_cells(sample, first) if first > 1 else np.zeros((1, dim), np.float32)
         self.fine = np.zeros((1, dim), np.float32)
         if cells > single:
-            self.fine = fit_cells(sample - self.coarse[(sample @ self.coarse.T).argmax(1)], first, unit=False)
+            self.fine = fit_cells(sample - self.coarse[(sample @ self.coarse.T).argmax(1)], -(-cells // first), unit=False)
         self.length = np.sqrt(np.maximum((self.coarse**2).sum(1)[:, None] + 2 * self.coarse @ self.fine.T + (self.fine**2).sum(1), 1e-12)).astype(np.float32)
         self.margins = (2.0, 2.0)
         self.step = 2048 if len(self.fine) == 1 else int(np.clip(500_000 // len(self.fine), 16, 2048))  # rows at once
