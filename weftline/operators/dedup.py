@@ -1,8 +1,8 @@
 """Entity de-duplication: exact keys, edit distance, cosine.
 
-Pair joins never enumerate all pairs. Edit distance uses the pigeonhole principle: two strings within d edits share
-one of d + 1 segments of the shorter one at nearly the same place, so candidates come from an equi-join on segments
-and the result is exact. Records equal in all that is compared are one class; pairs are between classes.
+Edit distance: two strings within d edits share one of their rarest grams, so candidates come from an equi-join and the
+result is exact; how many there are depends on the threshold. Cosine: cells that the angle of the threshold rules out
+aren't visited. Records equal in all that is compared are one class; pairs are between classes.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from weftline.operators.ranking import top_in_group
 from weftline.session import cut_lineage
 
 QUOTES = 5
+GRAM_BLOCK = 250
 BROADCAST_ROWS = 50_000
 
 
@@ -79,23 +80,38 @@ def name_classes(df: DataFrame, id_col: str, name_col: str) -> DataFrame:
 
 
 def similar_names(classes: DataFrame, threshold: float) -> DataFrame:
-    """``(x, y, similarity)`` of all pairs of different names with 1 - distance / longer length >= threshold; x < y."""
-    n = classes.select("norm", F.length("norm").alias("len"))
-    allowed = lambda longer: F.floor((1 - F.lit(threshold)) * longer + 1e-9).cast("int")
-    # The shorter string is cut once for every length the longer one may have.
-    short = n.select("norm", "len", F.explode(F.sequence(F.col("len"), F.greatest(F.col("len"), F.floor(F.col("len") / threshold + 1e-9).cast("int")))).alias("other")).withColumn("d", allowed(F.col("other")))
-    parts = F.sequence(F.lit(0), F.least(F.col("d"), F.col("len") - 1))
-    edge = lambda i: F.floor(F.try_divide(i * F.col("len"), F.least(F.col("d"), F.col("len") - 1) + 1)).cast("int")
-    seg = short.select("norm", "other", F.explode(F.transform(parts, lambda i: F.struct(edge(i).alias("at"), F.substring(F.col("norm"), edge(i) + 1, edge(i + 1) - edge(i)).alias("s")))).alias("e"))
-    seg = seg.select(F.col("norm").alias("x"), "other", F.col("e.at").alias("at"), F.col("e.s").alias("s"), F.length("e.s").alias("n"))
-    # Substrings of the longer string of the lengths that occur, at any place; the shift is checked in the join.
-    lengths = F.array_distinct(F.transform(F.sequence(F.greatest(F.lit(1), F.floor(F.col("len") * threshold - 1e-9).cast("int")), F.col("len")), lambda m: F.greatest(F.lit(1), F.floor(m / (allowed(F.col("len")) + 1)).cast("int"))))
-    both = F.array_distinct(F.flatten(F.transform(lengths, lambda m: F.array(m, m + 1))))
-    probe = n.select("norm", "len", F.explode(both).alias("n")).where("n <= len").select("norm", "len", "n", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("n"))).alias("at"))
-    probe = probe.select(F.col("norm").alias("y"), F.col("len").alias("other"), "n", F.col("at").alias("at2"), F.substring(F.col("norm"), F.col("at") + 1, F.col("n")).alias("s"))
-    found = seg.join(probe, ["other", "n", "s"]).where((F.col("x") != F.col("y")) & (F.abs(F.col("at") - F.col("at2")) <= allowed(F.col("other")))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    sim = 1 - F.try_divide(F.levenshtein("x", "y"), F.greatest(F.length("x"), F.length("y")))
-    return found.withColumn("similarity", sim).where(F.col("similarity") >= threshold - 1e-12)
+    """``(x, y, similarity)`` of all pairs of different names with 1 - distance / longer length >= threshold; x < y.
+
+    Exact, by rare grams: d edits leave all but 2 d of a name's bigrams (its ends count as characters), or all but d of
+    its characters. Two names that are near therefore share one of the rarest of each, as many as may be lost and one
+    more. Such names meet at the rarest gram they share, so once, and are compared up to the distance that is allowed.
+    """
+    size = 2 if threshold >= 0.7 else 1
+    rows = classes.select("norm", F.length("norm").alias("len")).where("len > 0")
+    d = F.floor((1 - F.lit(threshold)) * F.col("len") + 1e-9).cast("int")
+    padded = F.concat(F.lit("\u0002"), "norm", F.lit("\u0003")) if size == 2 else F.col("norm")
+    total = F.col("len") + (1 if size == 2 else 0)
+    cut = rows.select("norm", "len", F.posexplode(F.transform(F.sequence(F.lit(1), total), lambda i: F.substring(padded, i, size))).alias("i", "c"))
+    # The same gram again is another gram.
+    each = cut.select("norm", "len", F.concat("c", F.row_number().over(Window.partitionBy("norm", "c").orderBy("i")).cast("string")).alias("g"))
+    often = each.groupBy("g").agg(F.count("*").alias("n"))
+    sorted_ = each.join(often, "g").groupBy("norm", "len").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("all"))
+    most = F.least(total, size * d + 1)
+    pre = sorted_.select("norm", "len", F.slice("all", F.lit(1), most).alias("pre"))
+    one = pre.select(F.explode("pre").alias("e"), "norm", "len", F.col("pre.g").alias("pre")).select("e.g", F.ceil(F.col("e.n") / GRAM_BLOCK).cast("int").alias("parts"), "norm", "len", "pre")
+    # The names of a frequent gram are cut into blocks that meet all the others. Small in bytes, large in pairs: the
+    # number of tasks is set, or they would be put together.
+    tasks = 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def side(e: str, part: Column) -> DataFrame:
+        return one.select("g", part.alias("part"), F.col("norm").alias(e), F.col("len").alias(f"l{e}"), F.col("pre").alias(f"p{e}")).repartition(tasks, "g", "part")
+
+    x, y = side("x", F.pmod(F.xxhash64("norm"), F.col("parts")).cast("int")), side("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    longer = F.greatest("lx", "ly")
+    met = x.join(y, ["g", "part"]).where((F.col("x") < F.col("y")) & (F.least("lx", "ly") >= F.lit(threshold) * longer - 1e-9))
+    met = met.where(F.array_intersect("px", "py")[0] == F.col("g"))
+    near = met.withColumn("most", F.floor((1 - F.lit(threshold)) * longer + 1e-9).cast("int")).withColumn("d", F.expr("levenshtein(x, y, most)")).where("d >= 0")
+    return near.select("x", "y", (1 - F.try_divide("d", longer)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
 def _scored_fields(concepts: DataFrame) -> DataFrame:
