@@ -21,7 +21,8 @@ def infer(a: str = "a", b: str = "b") -> Column:
 
     The first rule that applies decides: name containment 0.7, mention in the definition 0.6, rank of the types 0.4,
     two or more sources more 0.3. For name containment each name of A is compared with the names of B in order; the
-    last name of A that has a verdict decides, and the reasons of all are joined.
+    last name of A that has a verdict decides, and the reasons of all are joined. The texts of the reasons are fixed
+    values: they are part of the result.
     """
     names = {s: [F.lower(F.coalesce(F.col(f"{s}.{n}"), F.lit(""))) for n in ("jp_name", "en_name")] for s in (a, b)}
     text = {s: F.lower(F.coalesce(F.col(f"{s}.definition"), F.lit(""))) for s in (a, b)}
