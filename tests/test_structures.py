@@ -213,6 +213,31 @@ def test_similar_names_of_concepts(spark, small):
     assert len(got) == len(expect) > 0 and {tuple(r) for r in got} == expect
 
 
+def test_similar_classes_move_no_pairs(spark):
+    """Pairs are found where two blocks meet and nothing is joined after; names may be longer than a machine word."""
+    rnd = random.Random(8)
+    base = ["".join(rnd.choice("abcd評") for _ in range(n)) for n in (3, 9, 40, 63, 64, 65, 66, 90, 127, 128, 129, 140, 260)]
+    words = set(base)
+    for w in base * 12:
+        w = list(w)
+        for _ in range(rnd.randrange(1, 2 + len(w) * 5 // 10)):
+            i = rnd.randrange(len(w) + 1)
+            w[i : i + rnd.randrange(2)] = rnd.choice(["", "a", "x", "評", "𠮷"])
+        words.add("".join(w))
+    words = sorted(words - {""})
+    classes = spark.createDataFrame([(w, 1 + i) for i, w in enumerate(words)], "norm string, members int")
+    members = {w: 1 + i for i, w in enumerate(words)}
+    a, b = classes.select(F.col("norm").alias("x")), classes.select(F.col("norm").alias("y"))
+    s = 1 - F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y"))
+    expect = {(r.x, r.y, r.s, members[r.x], members[r.y]) for r in a.crossJoin(b).where("x < y").where(s >= 0.6 - 1e-12).select("x", "y", s.alias("s")).collect()}
+    for block in (10_000, 7):
+        got = dedup.similar_classes(classes, 0.6, block)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        rows = [tuple(r) for r in got.collect()]
+        assert "Join" not in plan and len(rows) == len(expect) > 300 and set(rows) == expect
+    assert dedup.similar_classes(classes.limit(0), 0.6).count() == 0
+
+
 def test_duplicates_are_scored_by_record(spark):
     kind = "id int, en_name string, jp_name string, definition string, concept_type string, country_tag string, four_axis array<string>"
     rnd = random.Random(3)

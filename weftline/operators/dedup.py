@@ -1,7 +1,7 @@
 """Entity de-duplication: exact keys, edit distance, cosine.
 
-Edit distance: two strings within d edits share one of their rarest grams, so candidates come from an equi-join and the
-result is exact; how many there are depends on the threshold. Cosine: cells that the angle of the threshold rules out
+Edit distance: two strings within few edits share one of their rarest grams, so candidates come from an equi-join; for
+many edits blocks of strings are compared by tries. Both are exact. Cosine: cells that the angle of the threshold rules out
 aren't visited. Records equal in all that is compared are one class; pairs are between classes.
 """
 
@@ -11,16 +11,22 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.similarity import similarity_tier, structural_similarity, tier_action
 from weftline.functions.text import normalize_text, strip
+from weftline.operators import near
 from weftline.operators.ranking import top_in_group
-from weftline.session import cut_lineage
+from weftline.session import cut_lineage, ship_path, work_folder
 
 QUOTES = 5
 GRAM_BLOCK = 250
+NAME_BLOCK = 8192
+FEW_EDITS = 0.7
 BROADCAST_ROWS = 50_000
 
 
@@ -82,15 +88,17 @@ def name_classes(df: DataFrame, id_col: str, name_col: str) -> DataFrame:
 def similar_names(classes: DataFrame, threshold: float) -> DataFrame:
     """``(x, y, similarity)`` of all pairs of different names with 1 - distance / longer length >= threshold; x < y.
 
-    Exact, by rare grams: d edits leave all but 2 d of a name's bigrams (its ends count as characters), or all but d of
-    its characters. Two names that are near therefore share one of the rarest of each, as many as may be lost and one
-    more. Such names meet at the rarest gram they share, so once, and are compared up to the distance that is allowed.
+    Exact, by rare grams: d edits leave all but 2 d of a name's bigrams (its ends count as characters). Two names that
+    are near therefore share one of the rarest of each, as many as may be lost and one more. Such names meet at the rarest gram they share, so once, and are compared up to the distance that is allowed.
+    Below ``FEW_EDITS`` nearly all pairs would meet, and blocks of names are compared by tries (``similar_classes``).
     """
-    size = 2 if threshold >= 0.7 else 1
+    if threshold < FEW_EDITS:
+        return similar_classes(classes.select("norm", F.lit(1).alias("members")), threshold).select("x", "y", "similarity")
+    size = 2
     rows = classes.select("norm", F.length("norm").alias("len")).where("len > 0")
     d = F.floor((1 - F.lit(threshold)) * F.col("len") + 1e-9).cast("int")
-    padded = F.concat(F.lit("\u0002"), "norm", F.lit("\u0003")) if size == 2 else F.col("norm")
-    total = F.col("len") + (1 if size == 2 else 0)
+    padded = F.concat(F.lit("\u0002"), "norm", F.lit("\u0003"))
+    total = F.col("len") + 1
     cut = rows.select("norm", "len", F.posexplode(F.transform(F.sequence(F.lit(1), total), lambda i: F.substring(padded, i, size))).alias("i", "c"))
     # The same gram again is another gram.
     each = cut.select("norm", "len", F.concat("c", F.row_number().over(Window.partitionBy("norm", "c").orderBy("i")).cast("string")).alias("g"))
@@ -110,8 +118,71 @@ def similar_names(classes: DataFrame, threshold: float) -> DataFrame:
     longer = F.greatest("lx", "ly")
     met = x.join(y, ["g", "part"]).where((F.col("x") < F.col("y")) & (F.least("lx", "ly") >= F.lit(threshold) * longer - 1e-9))
     met = met.where(F.array_intersect("px", "py")[0] == F.col("g"))
-    near = met.withColumn("most", F.floor((1 - F.lit(threshold)) * longer + 1e-9).cast("int")).withColumn("d", F.expr("levenshtein(x, y, most)")).where("d >= 0")
-    return near.select("x", "y", (1 - F.try_divide("d", longer)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    close = met.withColumn("most", F.floor((1 - F.lit(threshold)) * longer + 1e-9).cast("int")).withColumn("d", F.expr("levenshtein(x, y, most)")).where("d >= 0")
+    return close.select("x", "y", (1 - F.try_divide("d", longer)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+
+
+def similar_classes(classes: DataFrame, threshold: float, block: int = NAME_BLOCK) -> DataFrame:
+    """``(x, y, similarity, members_x, members_y)``, the pairs of ``similar_names`` with the members of both names.
+
+    The names are written once to the shared folder in blocks, sorted from their ends. Each pair of blocks is a row of
+    its own: its task reads both and gives the near pairs (``near``), so what is written is the names and never a pair.
+    """
+    spark = classes.sparkSession
+    if threshold >= FEW_EDITS:
+        m = classes.select("norm", "members")
+        pairs = similar_names(classes, threshold)
+        return pairs.join(m.select(F.col("norm").alias("x"), F.col("members").alias("members_x")), "x").join(m.select(F.col("norm").alias("y"), F.col("members").alias("members_y")), "y")
+    ship_path(spark)
+    rows = cut_lineage(classes.where(F.length("norm") > 0).select("norm", F.col("members").cast("long").alias("members")))
+    total, letters = rows.agg(F.count("*"), F.sum(F.length("norm"))).first()
+    block = min(block, max(512, -(-total // 8)))
+    folder = work_folder(spark, "names")
+    end = F.reverse("norm")
+    rows.repartitionByRange(max(1, -(-total // block), (letters or 0) // (64 * block)), end).sortWithinPartitions(end).write.parquet(folder)
+    files = sorted(spark.read.schema("norm string, members long").parquet(folder).inputFiles())
+    n = len(files)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(path: str) -> pa.Table:
+            where, path = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+            return pq.read_table(path, filesystem=where).combine_chunks()
+
+        def rows(i: int, j: int, a: pa.Table, b: pa.Table, found: list) -> pa.RecordBatch:
+            p, s, d, longer = (np.concatenate(c) for c in zip(*found))
+            similarity = 1 - d / longer
+            ok = similarity >= threshold - 1e-12
+            if i == j:
+                ok &= p < s
+            p, s = pa.array(p[ok]), pa.array(s[ok])
+            x, y, mx, my = a["norm"].take(p).combine_chunks(), b["norm"].take(s).combine_chunks(), a["members"].take(p).combine_chunks(), b["members"].take(s).combine_chunks()
+            less = pc.less(x, y)
+            pick = lambda u, v: pc.if_else(less, u, v)
+            return pa.RecordBatch.from_arrays([pick(x, y), pick(y, x), pa.array(similarity[ok]), pick(mx, my), pick(my, mx)], ["x", "y", "similarity", "members_x", "members_y"])
+
+        for batch in batches:
+            for at in batch.column("id").to_pylist():
+                # Every unordered pair of blocks once: a block and the one so many places on, around the end.
+                i = at % n
+                j = (i + at // n) % n
+                a, b = read(files[i]), read(files[j])
+                codes: dict[str, int] = {}
+                patterns, strings = near.runs(a["norm"].to_pylist(), codes), near.runs(b["norm"].to_pylist(), codes)
+                found, held = [], 0
+                for s in strings:
+                    levels = near.trie(s, threshold)
+                    for p in patterns:
+                        for u, v, d in near.near(p, levels, len(codes), threshold):
+                            found.append((p.index[u], s.index[v], d, np.maximum(p.length[u], s.length[v])))
+                            held += len(u)
+                            if held >= 1 << 15:
+                                yield rows(i, j, a, b, found)
+                                found, held = [], 0
+                if found:
+                    yield rows(i, j, a, b, found)
+
+    pairs = n * (n + 1) // 2
+    return spark.range(0, pairs, 1, max(1, min(pairs, 10_000))).mapInArrow(work, "x string, y string, similarity double, members_x long, members_y long")
 
 
 def _scored_fields(concepts: DataFrame) -> DataFrame:
@@ -158,9 +229,9 @@ def score_classes(classes: DataFrame, threshold: float, name_least: float) -> Da
     pairs = None
     for n in ("n1", "n2"):
         names = named.where(F.col(n) != "").select(F.col(n).alias("norm"), "key")
-        near = similar_names(names.select("norm").distinct(), name_least)
+        close = similar_names(names.select("norm").distinct(), name_least)
         equal = names.select(F.col("norm").alias("x"), F.col("norm").alias("y"), F.lit(1.0).alias("similarity")).distinct()
-        both = near.unionByName(equal)
+        both = close.unionByName(equal)
         one = both.join(names.select(F.col("norm").alias("x"), F.col("key").alias("i")), "x").join(names.select(F.col("norm").alias("y"), F.col("key").alias("j")), "y")
         one = one.select(F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "similarity")
         pairs = one if pairs is None else pairs.unionByName(one)
@@ -258,12 +329,12 @@ def cosine_pairs(vectors: DataFrame, threshold: float, upper: float | None = Non
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         return np.arccos(np.clip(x @ pivots.T, -1, 1))
 
-    near = spark.sparkContext.broadcast(pivots)
+    pivot = spark.sparkContext.broadcast(pivots)
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a = angles(batch, near.value)
+                a = angles(batch, pivot.value)
                 home = a.argmin(1)
                 yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(a[np.arange(len(a)), home])], ["cell", "angle"])
 

@@ -308,12 +308,7 @@ def levenshtein_dups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _name_dups(classes: DataFrame) -> DataFrame:
-    pairs = dedup.similar_names(classes, 0.6)
-    m = classes.select("norm", "members")
-    return (
-        pairs.join(m.select(F.col("norm").alias("x"), F.col("members").alias("members_x")), "x").join(m.select(F.col("norm").alias("y"), F.col("members").alias("members_y")), "y")
-        .select("x", "y", F.round("similarity", 6).alias("similarity"), "members_x", "members_y")
-    )
+    return dedup.similar_classes(classes, 0.6).select("x", "y", F.round("similarity", 6).alias("similarity"), "members_x", "members_y")
 
 
 # The SQL's distance counts bytes: wide letters, all that is not ASCII in these names, become capitals, which none has.
